@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from weftlink.llm import packing
@@ -47,9 +48,12 @@ def test_empty_table_and_odd_columns(spark, docs):
 
 
 def test_words_are_encoded_as_the_whole_text():
-    t, words = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer())
-    for text in ["Hello  World\n\n new\tline", "don't we'll 42 x²", "ÀÉ ÎÕ é ẞ", "　wide　", "a" * 300 + " b", "###*** !!! %%%", "\n", " x "]:
-        assert np.frombuffer(words(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    t, words = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer(), cached=20)
+    texts = ["Hello  World\n\n new\tline", "don't we'll 42 x², 3. A,. B., c. d, e.", "ÀÉ ÎÕ é ẞ ΑΣ ΑΣ, Σ. İ", "　wide　", "a" * 300 + " b", "###*** !!! %%%", "\n", " x ", "", "E\u0301 E\u0301. e\u0301, x", "it's, that'S. 'tis", "<|endoftext|>, a<|startoftext|>. b"] * 2
+    ids, bounds = words.encode(pa.array([*texts, None])[0:])
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert bounds[-1] == bounds[-2] == len(ids)
 
 
 def test_level_has_the_least_sum_of_squares():

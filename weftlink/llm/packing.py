@@ -7,12 +7,13 @@ that level smallest. The counts stand in one array by level, so placing costs on
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -22,11 +23,12 @@ CAPACITY = 4096
 END_ID = 2
 #: Windows that may stand open in a task. Beyond it they are filled up from one another, which bounds memory.
 MAX_OPEN = 1024
-#: Words whose ids a task keeps.
-CACHED_WORDS = 250_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHED_WORDS = 600_000
 CACHED_CHARS = 64
+#: Texts are encoded in groups of about this many bytes.
+ENCODED_BYTES = 16 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_GAP = re.compile("[ \n]+")
 
 
 def default_tokenizer() -> str:
@@ -38,33 +40,70 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
-    Only for tokenizers whose pre-tokenizer drops white space and never joins what it parts: then the ids of a text
-    are those of its parts between blanks, one after the other, and a part's ids can be kept.
+    Only for tokenizers that take ASCII capitals as small letters, and whose pre-tokenizer drops white space and never
+    joins what it parts: then the ids of a text are those of its parts between blanks, one after the other, and a
+    part's ids can be kept. Two generations of parts are kept: a full one becomes the old one, of which those still
+    met are taken over.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._cached = cached
         self._known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        words = _GAP.split(text)
-        try:
-            return b"".join([self._known[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self._known]
-        ids = dict(zip(new, self._encode(new)))
-        if len(self._known) + len(ids) > CACHED_WORDS:
-            self._known.clear()
-        out = b"".join([ids[w] if w in ids else self._known.get(w) or self._encode([w])[0] for w in words])
-        self._known.update((w, x) for w, x in ids.items() if len(w) <= CACHED_CHARS)
+        self._old: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of words, which are distinct."""
+        known, old = self._known, self._old
+        out = [known.get(w) for w in words]
+        new: dict[str, bytes] = {}
+        unknown = []
+        for i, w in enumerate(words):
+            if out[i] is None:
+                out[i] = old.get(w)
+                if out[i] is None:
+                    unknown.append(i)
+                else:
+                    new[w] = out[i]
+        for i, e in zip(unknown, self._tokenizer.encode_batch([words[i] for i in unknown], add_special_tokens=False) if unknown else ()):
+            out[i] = array("I", e.ids).tobytes()
+            if len(words[i]) <= CACHED_CHARS:
+                new[words[i]] = out[i]
+        if len(known) + len(new) > self._cached:
+            self._old, self._known = known, {}
+        self._known.update(new)
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, and where in them each text begins and the last ends. A null has none."""
+        plain = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+        # a comma or full stop that ends a word is a part of its own: so fewer words differ
+        split = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,]) ", r"\1 \2 "), " ")
+        words = split.flatten().dictionary_encode()
+        ids = self._ids(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        which = words.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], lengths)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return flat[places], ends[bounds]
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The process's tokenizer for path: a worker meets the same words in one task after the other."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
 
 class SumOfSquaresPacker:
     """Windows of `capacity` ids. A piece is (doc, start, ids, doc_tokens); a window is a list of pieces."""
@@ -155,7 +194,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text).
 
     Every input partition is packed by itself in one pass without a shuffle, so its windows depend on nothing but
@@ -163,10 +202,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     columns are not read. An empty table gives no rows. sequence_id: the partition's number times 2**32, plus the
     window's number in it.
     """
-    path = tokenizer or default_tokenizer()
+    path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         base, made, out = TaskContext.get().partitionId() << 32, [0], []
 
         def close(window: list) -> None:
@@ -177,13 +216,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             made[0] += 1
 
         packer = SumOfSquaresPacker(close, capacity, max_open)
+        last = np.array([end_id], "<u4")
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py() or "") + end_id.to_bytes(4, "little"), "<u4")
-                packer.add(doc, ids)
-                if len(out) > 20_000:
-                    yield _rows(out)
-                    out.clear()
+            for some in common.groups(batch, limit=ENCODED_BYTES):
+                ids, bounds = tokenizer.encode(some.column(1))
+                bounds = bounds.tolist()
+                for doc, a, b in zip(some.column(0).to_pylist(), bounds, bounds[1:]):
+                    packer.add(doc, np.concatenate([ids[a:b], last]))
+                yield _rows(out)
+                out.clear()
         packer.finish()
         yield _rows(out)
 
