@@ -17,7 +17,8 @@ LEAST_COMPOSITE, MOST_FILL_INS, REPORTED_SCORES = 0.5, 20, 20
 def composite(shared: Column, similarity: Column, anchor_score: Column, title_overlap: Column) -> Column:
     """0 to 10, to one place: shared keywords, similarity, the best anchor if there is one, words of the title."""
     parts = F.lit(0.0) + F.least(F.lit(4.0), shared * F.lit(0.4)) + F.least(F.lit(3.0), similarity * F.lit(12.0))
-    parts = parts + F.coalesce(F.least(F.lit(2.0), anchor_score * F.lit(0.2)), F.lit(0.0)) + F.least(F.lit(1.0), title_overlap * F.lit(0.5))
+    # least() would pass over a missing score
+    parts = parts + F.when(anchor_score.isNotNull(), F.least(F.lit(2.0), anchor_score * F.lit(0.2))).otherwise(F.lit(0.0)) + F.least(F.lit(1.0), title_overlap * F.lit(0.5))
     return words.half_up(parts, 1)
 
 
@@ -67,7 +68,7 @@ def semantic_reason(shared: Column, similarity: Column, anchor: Column, title_ov
     told = F.array_compact(
         F.array(
             F.when(F.size(shared) > 0, F.concat(n, F.lit(" shared keywords: "), F.array_join(F.slice(shared, 1, 5), ", "))),
-            F.when(similarity > 0, F.concat(F.lit("semantic similarity: "), F.format_number(similarity * 100, "0.0"), F.lit("%"))),
+            F.when(similarity > 0, F.concat(F.lit("semantic similarity: "), F.format_number(similarity * 100, 1), F.lit("%"))),
             F.when(anchor.isNotNull(), F.concat(F.lit('natural anchor "'), anchor, F.lit('" found in body content'))),
             F.when(title_overlap > 0, F.concat(title_overlap.cast("string"), F.lit(" target keyword(s) in source title"))),
         )
@@ -114,6 +115,6 @@ def no_result_reason(scores: DataFrame, log: DataFrame, min_score: int) -> DataF
         F.when(F.col("n") == 0, F.concat(F.lit("No source pages yielded valid body content ("), F.col("js").cast("string"), F.lit(" JS-rendered, "), F.col("render").cast("string"), F.lit(" render failures, "), F.col("fetch").cast("string"), F.lit(" fetch failures).")))
         .when(F.col("linked"), F.lit("All fetched pages already link to the target page."))
         .when(F.col("low"), F.concat(F.lit("All "), F.col("n").cast("string"), F.lit(" pages scored below 1/10 — target content may be very different from the rest of the site.")))
-        .otherwise(F.concat(F.lit(f"Scores found but all below minimum threshold ({min_score}/10). Highest: "), F.format_number("top", "0.0"), F.lit(".")))
+        .otherwise(F.concat(F.lit(f"Scores found but all below minimum threshold ({min_score}/10). Highest: "), F.format_number("top", 1), F.lit(".")))
     )
     return seen.join(F.broadcast(counts)).select(text.alias("reason"))
