@@ -43,6 +43,6 @@ def test_parts_stay_in_order_with_their_captions():
 def test_references_are_resolved_by_digest(spark):
     pages = spark.createDataFrame([(i, f'<img src="digest:{"aa" if i % 3 else "bb"}"><p>t</p><img src="digest:zz">') for i in range(30)], "doc_id long, html string")
     refs = media.references(media.interleave(pages))
-    stored = spark.createDataFrame([("aa", 1), ("bb", 2)], "digest string, size int")
+    stored = spark.createDataFrame([("aa", 1, 20), ("bb", 2, 5000)], "digest string, size int, named int")
     rows = media.resolve(refs, stored).orderBy("doc_id", "position").collect()
     assert [(r.position, r.digest, r["size"]) for r in rows] == [x for i in range(30) for x in ((0, "aa" if i % 3 else "bb", 1 if i % 3 else 2), (2, "zz", None))]

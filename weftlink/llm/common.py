@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,32 +9,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Replicas of the smaller side in joins whose keys may be hot.
+from weftlink.lineage import cut_lineage, shared_dir  # noqa: F401  the operators' too
+
+#: Tasks over which a hot key of a join is dealt. A key is hot with over HOT_ROWS rows and over one in MOST_HOT of all.
 SALTS = 16
+HOT_ROWS, MOST_HOT = 1000, 10_000
 #: Texts are handed to numpy in groups of about this many bytes, so memory follows this and the longest text.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
+#: Rows of documents that Python gets at once.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = tempfile.mkdtemp(prefix="weftlink-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, so that a lost executor costs a read and not the plan behind it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
@@ -46,14 +34,21 @@ def rank_hash(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """left joined to right, where one key may hold a large part of left. right must be unique by keys and narrow.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], weight: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """left joined to right, unique by keys, where a key may hold a large part of left. weight: right's column with about how many rows of left a key has.
 
-    Each key of left is dealt over `salts` tasks by the columns in spread; right is repeated that often.
+    Hot keys, of which there are MOST_HOT at most by their definition, are dealt over several tasks by the columns in
+    spread, and right's rows for them are repeated that often. right is written first, as it is read twice.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(many, [*keys, "_salt"], how).drop("_salt")
+    right = cut_lineage(right)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(HOT_ROWS, total // MOST_HOT)
+    marked = right.where(hot).select(*keys).withColumn("_hot", F.lit(True))
+    if marked.isEmpty():
+        return left.join(right.drop(weight), keys, how)
+    many = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")).otherwise(0)
+    return left.join(F.broadcast(marked), keys, "left").withColumn("_salt", salt).drop("_hot").join(many, [*keys, "_salt"], how).drop("_salt")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -61,6 +56,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session hands Python at most so many rows at once, which bounds what a task holds outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(rows, int(spark.conf.get(name))))
+
+
 def groups(batch: pa.RecordBatch, text: int = 1, limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `limit` bytes of text."""
     if not batch.num_rows:

@@ -20,12 +20,13 @@ def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """
     if larger_only:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        pairs = common.salted_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = least.where("m < u").select("u", F.col("m").alias("v"))
-        return pairs.unionByName(own).where("u > v").distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    pairs = common.salted_join(edges, least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        around = both.where("v > u")
+    else:
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        around = edges
+    least = common.cut_lineage(least)
+    pairs = common.salted_join(around, least, ["u"], ["v"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return pairs.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 

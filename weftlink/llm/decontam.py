@@ -42,6 +42,11 @@ def _checked(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small
 
 
+def _often(lists: DataFrame) -> DataFrame:
+    """(item_id, often): in how many candidates an item is."""
+    return lists.select(F.explode("items").alias("item_id")).groupBy("item_id").agg(F.count("*").alias("often"))
+
+
 def item_index(items: DataFrame) -> DataFrame:
     """(item_id, part, draws, shingles) of items (item_id, text); part: the power of two up to the number of its distinct shingles."""
     sets = _hashed(items.where("text IS NOT NULL"), ["item_id"]).select("item_id", F.array_distinct("shingles").alias("shingles"))
@@ -75,7 +80,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     pairs = lists.agg(F.sum(F.size("items"))).first()[0] or 0
     found = keyed.join(_checked(lists, pairs, broadcast_rows), ["doc_id", "tid"])
     found = _hashed(found, ["doc_id", "items"]).select("doc_id", F.explode("items").alias("item_id"), F.col("shingles").alias("own"))
-    found = found.join(F.broadcast(index), "item_id") if n_items <= broadcast_rows // 50 else common.salted_join(found, index, ["item_id"], ["doc_id"])
+    found = found.join(F.broadcast(index), "item_id") if n_items <= broadcast_rows // 50 else common.salted_join(found, index.join(_often(lists), "item_id"), ["item_id"], ["doc_id"], "often")
     exact = found.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
     exact = exact.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
     return exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)

@@ -45,8 +45,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     keyed = before.withColumn("_tid", F.xxhash64("text"))
     windows = _windows(keyed.select("doc_id", F.col("_tid").alias("tid"), "text"), size)
     place = F.struct("doc_id", "tid", "pos")
-    often = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = common.salted_join(windows, often, ["h1", "h2"], ["doc_id", "pos"]).where(place != F.col("first"))
+    often = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    later = common.salted_join(windows, often, ["h1", "h2"], ["doc_id", "pos"], "n").where(place != F.col("first"))
     starts = later.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("_starts")).withColumnRenamed("tid", "_tid").withColumnRenamed("doc_id", "_doc")
     joined = keyed.join(starts, (F.col("doc_id") == F.col("_doc")) & (keyed["_tid"] == starts["_tid"]), "left").drop(starts["_tid"]).drop("_doc")
 

@@ -23,7 +23,6 @@ from weftlink.llm import common
 
 ALIGN = 64
 _SCHEME = "digest:"
-#: Texts put in one batch; a batch of media is as large as its texts.
 _TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -130,9 +129,9 @@ def references(sequences: DataFrame, key: str = "doc_id") -> DataFrame:
 def resolve(refs: DataFrame, media: DataFrame, key: str = "doc_id") -> DataFrame:
     """refs with the columns of media (unique by digest) that they name; null where a digest is not stored.
 
-    A digest may be named by any part of all references, so it is dealt over several tasks.
+    A digest may be named by any part of all references; media's column `named` says by about how many.
     """
-    return common.salted_join(refs, media, ["digest"], [key, "position"], "left")
+    return common.salted_join(refs, media, ["digest"], [key, "position"], "named", "left")
 
 
 def store(docs: DataFrame, to: str) -> DataFrame:
@@ -155,8 +154,9 @@ def store(docs: DataFrame, to: str) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """media (digest, media) read back, decoded and described, one row for each digest."""
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """media (digest, media) read back, decoded and described, one row for each digest; payload: its digest as bytes; named: how many rows had it."""
+    names = ["digest", "payload_bytes", "payload", "tail_crc32", "media_bytes", "feature"]
+    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,11 +167,11 @@ def describe(media: DataFrame) -> DataFrame:
                     if digest != name:
                         raise ValueError(f"medium {name} has the digest {digest}")
                     got = decode(stored)
-                    rows.append((name, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-ALIGN:]), len(stored), digest, features(got)))
-                yield pa.RecordBatch.from_pylist([dict(zip(("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), r)) for r in rows], schema=pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
+                    rows.append((name, len(got), hashlib.sha256(got).digest(), zlib.crc32(got[-ALIGN:]), len(stored), features(got)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    rows = media.select("digest", "media").mapInArrow(run, schema)
-    return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in rows.columns[1:]])
+    rows = media.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload binary, tail_crc32 long, media_bytes long, feature string")
+    return rows.groupBy("digest").agg(F.count("*").alias("named"), *[F.first(c).alias(c) for c in rows.columns[1:]])
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -183,4 +183,5 @@ def document_media(docs: DataFrame) -> DataFrame:
     kept = store(docs, f"{common.shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}")
     refs = references(interleave(kept.select("doc_id", "html")))
     sizes = F.split("caption", " ")[0].cast("long").alias("n_bytes")
-    return resolve(refs, describe(kept)).select("doc_id", sizes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    payload = F.lower(F.hex("payload")).alias("payload_sha256")
+    return resolve(refs, describe(kept)).select("doc_id", sizes, "payload_bytes", payload, "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature")

@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     edges = links(nodes.select("node", "fp"), _part_bits(nodes.count()), radius)
     found = components(edges)
     # only fingerprints of several rows, or with links, lead to another id than the row's own
-    joined = nodes.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "node").alias("component"))
-    out = common.salted_join(fps, joined, ["fp"], ["doc_id"], "left")
+    joined = nodes.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").select("fp", "n", F.coalesce("component", "node").alias("component"))
+    out = common.salted_join(fps, joined, ["fp"], ["doc_id"], "n", "left")
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -229,7 +229,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance
     drops = common.cut_lineage(low.groupBy("host").agg(F.collect_set("path").alias("drop")))
     size = drops.agg(F.sum(F.size("drop"))).first()[0] or 0
     wide = pages.select("page_id", "url", "html", host_of().alias("host"))
-    joined = wide.join(F.broadcast(drops), "host", "left") if size <= broadcast_rows else common.salted_join(wide, drops, ["host"], ["page_id"], "left")
+    joined = wide.join(F.broadcast(drops), "host", "left") if size <= broadcast_rows else common.salted_join(wide, drops.join(wide.groupBy("host").agg(F.count("*").alias("often")), "host"), ["host"], ["page_id"], "often", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
