@@ -24,7 +24,7 @@ END_ID = 2
 #: Windows that may stand open in a task. Beyond it they are filled up from one another, which bounds memory.
 MAX_OPEN = 1024
 #: Words whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 CACHED_CHARS = 64
 #: Texts are encoded in groups of about this many bytes.
 ENCODED_BYTES = 16 << 20
