@@ -101,6 +101,14 @@ def test_pseudonyms_keep_their_format(spark, docs):
     assert all(int(o) < 256 for o in new["97.51.17.173"].split("."))
 
 
+def test_neighbours_are_told_apart(spark, docs):
+    texts = ["+1 (826) 555-4081 190.137.223.204", "+49 30 1234 5678 190.137.223.204 x", "4111111111111111 4111111111111111", "a.1@b.org,c.2@b.org"]
+    rows = sorted(pii.pseudonymize(docs(texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.n_values for r in rows] == [2, 2, 2, 2]
+    for t, r in zip(texts, rows):
+        assert not set(re.split("[ ,]", t)[-1:]) & set(re.split("[ ,]", r.text)) or t.endswith("x")
+
+
 def test_permutation(spark):
     for a, b in ((10, 10), (10, 1), (7, 4), (26, 26)):
         rows = spark.range(a * b).select("id", pii.permute(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "k", F.lit("t")).alias("to")).collect()
