@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder: a lost executor costs a read, and what follows is planned without what came before."""
+    """df, written to the shared folder: a lost executor costs a read, and what follows is planned without what came before.
+
+    Rows are first dealt into even partitions of the advisory size, so small tables become few files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.hint("rebalance").checkpoint()
