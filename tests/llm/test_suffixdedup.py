@@ -34,10 +34,10 @@ def corpus(prose):
     return texts
 
 
-@pytest.mark.parametrize("width, wide_sites, broadcast_rows", [(100, 20_000, 500_000), (100, 2, 500_000), (60, 20_000, 0), (400, 20_000, 500_000)])
-def test_as_brute_force(spark, docs, prose, width, wide_sites, broadcast_rows):
+@pytest.mark.parametrize("width, wide_sites, broadcast_numbers", [(100, 20_000, 500_000), (100, 2, 500_000), (60, 20_000, 0), (400, 20_000, 500_000)])
+def test_as_brute_force(spark, docs, prose, width, wide_sites, broadcast_numbers):
     texts = corpus(prose)
-    rows = sorted(suffixdedup.deduplicate(docs(texts).withColumnRenamed("source", "key").repartition(3), width, wide_sites, broadcast_rows).collect())
+    rows = sorted(suffixdedup.deduplicate(docs(texts).withColumnRenamed("source", "key").repartition(3), width, wide_sites, broadcast_numbers).collect())
     assert [tuple(r)[1:5] for r in rows] == plain(texts, width)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftlink.llm import decontam, langid, linededup, media, packing, pii, quality, simhash, sitetree, suffixdedup
-from weftlink.llm.common import table
+from weftlink.llm.common import small_batches, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    small_batches(spark)
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

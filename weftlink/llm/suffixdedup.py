@@ -11,7 +11,6 @@ their names, merges the remaining suffixes and compares adjacent prefixes of `wi
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +23,9 @@ from weftlink.llm import common
 
 WIDTH = 400
 #: Bytes of context that are sorted at once.
-SORT_BYTES = 2 << 20
-#: Tables of up to so many rows of at most 64 bytes, or of so many positions in all, are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+SORT_BYTES = 1 << 20
+#: Tables of up to so many numbers of 8 bytes at most, in their rows and arrays, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_NUMBERS = 8_000_000
 #: Sites of a gram above which its strings are hashed one by one instead of sorted in one task.
 WIDE_SITES = 20_000
 _FACTOR = 0x9E3779B97F4A7C15
@@ -215,7 +214,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted_runs(contexts: DataFrame, width: int) -> DataFrame:
-    """(key, ctx, lo, hi): runs [lo, hi) of repeated starts of each of contexts. Contexts of a key are sorted together."""
+    """(key, ctx, m, lo, hi): runs [lo, hi) of repeated starts of each of contexts. Contexts of a key are sorted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[int, bytes]] = {}
@@ -225,9 +224,9 @@ def _sorted_runs(contexts: DataFrame, width: int) -> DataFrame:
             rows = []
             found = repeated_starts([b for _, b in held.values()], width)
             for (key, ctx), (m, _), flags in zip(held, held.values(), found):
-                rows += [(key, ctx, lo, hi) for lo, hi in ([(0, len(flags))] if m > 1 else _runs(flags))]
+                rows += [(key, ctx, m, lo, hi) for lo, hi in ([(0, len(flags))] if m > 1 else _runs(flags))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "m", "lo", "hi"])
 
         for batch in batches:
             for key, ctx, m, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
@@ -241,7 +240,7 @@ def _sorted_runs(contexts: DataFrame, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, ctx long, lo int, hi int")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, ctx long, m long, lo int, hi int")
 
 
 def _hashed_runs(contexts: DataFrame, width: int) -> DataFrame:
@@ -254,8 +253,19 @@ def _hashed_runs(contexts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([key] * starts), pa.array([ctx] * starts), pa.array([m] * starts), pa.array(range(starts), pa.int32()), pa.array([xxhash.xxh3_128_digest(text[s : s + width]) for s in range(starts)], pa.binary())], names=["key", "ctx", "m", "lo", "string"])
 
     strings = common.cut_lineage(contexts.mapInArrow(run, "key long, ctx long, m long, lo int, string binary"))
-    often = strings.groupBy("string").agg(F.sum("m").alias("n")).where("n > 1").select("string")
-    return common.salted_join(strings, often, ["string"], ["ctx", "lo"]).select("key", "ctx", "lo", (F.col("lo") + 1).alias("hi"))
+    often = strings.groupBy("string").agg(F.sum("m").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n")
+    return common.salted_join(strings, often, ["string"], ["ctx", "lo"], "rows").select("key", "ctx", "m", "lo", (F.col("lo") + 1).alias("hi"))
+
+
+def _disjoint(los: list[int], his: list[int]) -> list[int]:
+    """The bounds of the runs that these runs make up, those that touch joined."""
+    out: list[int] = []
+    for lo, hi in sorted(zip(los, his)):
+        if out and lo <= out[-1]:
+            out[-1] = max(out[-1], hi)
+        else:
+            out += [lo, hi]
+    return out
 
 
 def _merged(covered: DataFrame) -> DataFrame:
@@ -263,31 +273,40 @@ def _merged(covered: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for los, his in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                out: list[int] = []
-                for lo, hi in sorted(zip(los, his)):
-                    if out and lo <= out[-1]:
-                        out[-1] = max(out[-1], hi)
-                    else:
-                        out += [lo, hi]
-                spans.append(out)
+            spans = [_disjoint(los, his) for los, his in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "tid", "spans"])
 
     each = covered.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("x")).select("doc_id", "tid", "x.lo", "x.hi")
     return each.mapInArrow(run, "doc_id long, tid long, spans array<int>")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _numbers(rows: DataFrame, column: str, each: int) -> int:
+    """How many numbers are in rows, with `each` in an element of its array."""
+    return rows.agg(F.sum(F.size(column) * each + 4)).first()[0] or 0
+
+
+def _runs_by_context(runs: DataFrame) -> DataFrame:
+    """(key, ctx, m, runs): the runs of a context as an array of disjoint ones, those that touch joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = []
+            for los, his in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                bounds = _disjoint(los, his)
+                merged.append([{"lo": a, "hi": b} for a, b in zip(bounds[::2], bounds[1::2])])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(merged, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["key", "ctx", "m", "runs"])
+
+    each = runs.groupBy("key", "ctx").agg(F.max("m").alias("m"), F.collect_list(F.struct("lo", "hi")).alias("x")).select("key", "ctx", "m", "x.lo", "x.hi")
+    return each.mapInArrow(run, "key long, ctx long, m long, runs array<struct<lo:int,hi:int>>")
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITES, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """(doc_id, tid, spans) of the rows of docs (doc_id, tid, text) with bytes that repeated strings cover."""
-    spark = docs.sparkSession
-    to = f"{common.shared_dir(spark)}/sites-{uuid.uuid4().hex}"
-    sites(docs, width).write.option("compression", "zstd").parquet(to)
-    all_sites = spark.read.parquet(to)
+    all_sites = sites(docs, width)  # found twice: that costs less than to write and read them
     keys = all_sites.groupBy("key").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1")
     keys = common.cut_lineage(keys)
-    few = keys.count() <= broadcast_rows
-    met = all_sites.join(F.broadcast(keys), "key") if few else common.salted_join(all_sites, keys, ["key"], ["doc_id", "first"])
+    few = 3 * keys.count() <= broadcast_numbers
+    met = all_sites.join(F.broadcast(keys), "key") if few else common.salted_join(all_sites, keys.withColumn("w", F.col("n")), ["key"], ["doc_id", "first"], "w")
     met = common.cut_lineage(met)
     end = F.lit(width - 1)
     alike = met.where("NOT mixed").select("doc_id", "tid", F.col("first").alias("lo"), (F.col("first") + F.col("starts") + end).alias("hi"))
@@ -296,8 +315,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_S
     distinct = mixed.groupBy("key", "ctx").agg(F.count("*").alias("m"), F.max("n").alias("n"), one)
     wanted = distinct.select("one.doc_id", "one.tid", F.struct("key", "ctx", "m", "one.first", "one.starts", "n").alias("s"))
     by_doc = common.cut_lineage(wanted.groupBy("doc_id", "tid").agg(F.collect_list("s").alias("list")))
-    places = by_doc.agg(F.sum(F.size("list"))).first()[0] or 0
-    small = places <= broadcast_rows
+    small = _numbers(by_doc, "list", 6) <= broadcast_numbers
 
     def of(wide: bool) -> DataFrame:
         return _contexts(docs, by_doc.withColumn("list", F.filter("list", lambda s: (s.n > wide_sites) == F.lit(wide))).where(F.size("list") > 0), width, small)
@@ -305,24 +323,23 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_S
     runs = _sorted_runs(of(False), width)
     if mixed.where(F.col("n") > wide_sites).limit(1).count():
         runs = runs.unionByName(_hashed_runs(of(True), width))
-    runs = common.cut_lineage(runs.groupBy("key", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
-    hits = common.salted_join(mixed, runs, ["key", "ctx"], ["doc_id", "first"]).select("doc_id", "tid", "first", F.explode("runs").alias("r"))
+    hits = common.salted_join(mixed, _runs_by_context(runs), ["key", "ctx"], ["doc_id", "first"], "m").select("doc_id", "tid", "first", F.explode("runs").alias("r"))
     hits = hits.select("doc_id", "tid", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + end).alias("hi"))
     return _merged(alike.unionByName(hits))
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITES, broadcast_numbers: int = BROADCAST_NUMBERS, with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs (doc_id, text).
 
     A byte is removed if a string of `width` bytes covers it that starts anywhere else too, in the same text or
     another, judged on the input. A null text counts as empty; texts under `width` bytes stay whole. Repeated rows are
     texts of their own, so each has its bytes removed. Other columns are not read. An empty table gives no rows.
-    kept: the remaining bytes.
+    kept: the remaining bytes, without with_kept left out.
     """
     docs = docs.select("doc_id", text_key().alias("tid"), "text")
-    spans = common.cut_lineage(repeated_spans(docs, width, wide_sites, broadcast_rows))
-    size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = docs.join(F.broadcast(spans) if size <= broadcast_rows else spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
+    spans = common.cut_lineage(repeated_spans(docs, width, wide_sites, broadcast_numbers))
+    few = _numbers(spans, "spans", 1) <= broadcast_numbers
+    joined = docs.join(F.broadcast(spans) if few else spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +349,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITE
                     bounds = bounds or []
                     edges = [0, *bounds, len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    rows.append((len(text), len(text) - len(kept), len(bounds) // 2, hashlib.sha256(kept).hexdigest(), kept))
-                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    rows.append((len(text), len(text) - len(kept), len(bounds) // 2, hashlib.sha256(kept).hexdigest(), kept)[: len(names) - 1])
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_kept]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
