@@ -97,7 +97,10 @@ def crawl(raw: DataFrame, settings: Settings = CORE, target: str | None = None)
     rows = rows.withColumn("_message", F.when(bare, "✗ Playwright not available — run: npm install playwright").otherwise(F.col("_message")))
     rows = rows.withColumn("html", F.when(F.col("_js"), F.col("rendered_html")).otherwise(F.col("html"))).drop("rendered_html", "http_status", "content_type", "fetch_error")
     failed = rows.where("_status IS NOT NULL").select("site_key", "page_id", "url", F.lit(False).alias("success"), F.col("_status").alias("status"), F.col("_message").alias("message"), F.col("_js").alias("js_detected"))
-    parsed = cut_lineage(with_extract(rows.where("_status IS NULL").drop("_status", "_message"), settings))
+    # extraction is all CPU: it gets the session's number of shuffle partitions, not as few as the bytes would fill
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fetched = rows.where("_status IS NULL").drop("_status", "_message").repartition(parts, "normalized_url")
+    parsed = cut_lineage(with_extract(fetched, settings))
     e = F.col("extract")
     canonical, how = e["canonical"], F.when(F.col("_js"), "rendered").otherwise("raw")
     elsewhere = canonical.isNotNull() & (urls.normalize(canonical) != F.col("normalized_url")) & (canonical != F.col("url"))
