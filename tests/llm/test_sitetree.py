@@ -31,6 +31,14 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in rows} == {"The same article"}
 
 
+def test_text_beside_a_teaser_stays(spark):
+    page = lambda i: f'<body><div class="story"><div>Story number {i * i} of the day is told in divs</div><div>and ends {i} lines later</div></div><article class="card"><p>Read this too</p></article></body>'
+    many = [(f"http://many.example/{i}", page(i)) for i in range(20)] + [("http://few.example/1", page(1))]
+    texts = [r.text for r in sorted(sitetree.main_text(pages(spark, many)).collect())]
+    assert texts[:20] == [f"Story number {i * i} of the day is told in divs\nand ends {i} lines later" for i in range(20)]
+    assert texts[20] == "Story number 1 of the day is told in divs\nand ends 1 lines later\nRead this too"
+
+
 def test_odd_pages(spark):
     rows = [(None, None), ("", ""), ("no url", "plain &lt;text&gt;\n x"), ("http://x", "<p>a<p>b<!-- c --><br>d"), ("http://x", "<div>" * 3000 + "deep"), ("http://x", "<article>" + "<p>word " * 5000), ("http://x", "<article>A</article><article>B</article>"), ("http://x", "a < b <c")]
     got = [r.text for r in sorted(sitetree.main_text(pages(spark, rows)).collect())]

@@ -47,8 +47,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-#: Branches that stay whatever their importance: the main text itself, and prose in it.
-_KEPT = r"/(article|main)(\.[^/]*)?((/[^/]*)*/(p|h[1-6]|li|dt|dd|pre|blockquote|td|th)(\.[^/]*)?)?$"
+#: Branches that stay whatever their importance where a main or article branch is a page's main text: the branch itself, and prose in it.
+_KEPT = re.compile(r"/(article|main)(\.[^/]*)?((/[^/]*)*/(p|h[1-6]|li|dt|dd|pre|blockquote|td|th)(\.[^/]*)?)?$")
 
 
 class Node:
@@ -178,8 +178,14 @@ def branches(root: Node) -> Iterator[tuple[str, int, int]]:
 
 
 def extract(page: str, drop: frozenset[str] | set[str] = frozenset()) -> str:
+    """The main text of a page. A lone main or article branch is all of it if it holds as much as what else is left of the page."""
     root = tree(page)
-    return "\n".join(blocks(_main(root) or root, drop))
+    main = _main(root)
+    if main is not None:
+        own = "\n".join(blocks(main, {p for p in drop if not _KEPT.search(p)}))
+        if len(own) >= len("\n".join(blocks(root, {*drop, main.path}))):
+            return own
+    return "\n".join(blocks(root, drop))
 
 
 def host_of(url: str = "url"):
@@ -222,10 +228,10 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     A null html counts as empty and gives an empty text. A url without a host belongs to the host ''. A main or
-    article branch, and the prose in it, stays even if its host repeats it. Repeated rows stay; other columns are not
+    article branch that holds most of a page's text, and the prose in it, stays even if its host repeats it. Repeated rows stay; other columns are not
     read; an empty table gives no rows. Only the whole page bounds a text: nothing is cut off.
     """
-    low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance) & ~F.col("path").rlike(_KEPT))
+    low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
     drops = common.cut_lineage(low.groupBy("host").agg(F.collect_set("path").alias("drop")))
     size = drops.agg(F.sum(F.size("drop"))).first()[0] or 0
     wide = pages.select("page_id", "url", "html", host_of().alias("host"))
