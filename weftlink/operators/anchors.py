@@ -26,7 +26,8 @@ def bounded_pattern(phrase: Column, ascii_only: bool = False) -> Column:
     """A pattern for the phrase, of any case, with no letter or digit on either side."""
     side = _ASCII_SIDE if ascii_only else _SIDE
     literal = F.concat(F.lit(r"\Q"), F.regexp_replace(phrase, r"\\E", r"\\\\E\\\\\\\\E\\\\Q"), F.lit(r"\E"))
-    return F.concat(F.lit(f"(?i)(?<![{side}])("), literal, F.lit(f")(?![{side}])"))
+    fold = "iu" if ascii_only else "i"
+    return F.concat(F.lit(f"(?{fold})(?<![{side}])("), literal, F.lit(f")(?![{side}])"))
 
 
 def bounded_phrase(text: Column, phrase: Column, ascii_only: bool = False) -> Column:
@@ -248,10 +249,16 @@ def natural_anchors(texts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def phrase_matches_ascii(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> DataFrame:
-    """(site_key, *keep, phrase, anchor) with ASCII sides, where a phrase meets a text by its first ASCII run."""
+    """(site_key, *keep, phrase, anchor) with ASCII sides, where a phrase meets a text by its first ASCII run, or without one by its first four characters."""
     run = F.lower(F.regexp_extract("phrase", f"[{_ASCII_SIDE}]+", 0)).alias("r1")
-    heads = phrases.select("site_key", "phrase", run).where("r1 <> ''")
+    heads = phrases.select("site_key", "phrase", run)
     each = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"[{_ASCII_SIDE}]+"), F.lit(0)), lambda r: F.lower(r)))
-    met = texts.select("site_key", *keep, "text", F.explode_outer(each).alias("r1")).join(heads, ["site_key", "r1"])
+    met = texts.select("site_key", *keep, "text", F.explode_outer(each).alias("r1")).join(heads.where("r1 <> ''"), ["site_key", "r1"])
+    # sides are ASCII, so such a phrase may begin inside a word of another script
+    fours = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=([^{_ASCII_SIDE}]{{4}}))"), F.lit(1)))
+    others = heads.where("r1 = ''").withColumn("r1", F.substring(F.lower("phrase"), 1, 4))
+    met_other = texts.select("site_key", *keep, "text", F.explode_outer(fours).alias("r1")).join(others, ["site_key", "r1"])
+    columns = ["site_key", *keep, "text", "phrase"]
+    met = met.select(columns).unionByName(met_other.select(columns))
     found = met.withColumn("anchor", bounded_phrase(F.col("text"), F.col("phrase"), ascii_only=True))
     return found.where("anchor IS NOT NULL").select("site_key", *keep, "phrase", "anchor")
