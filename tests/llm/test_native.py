@@ -1,5 +1,8 @@
 """The operators that use DataFrame functions only: pseudonyms, decontamination, line dedup."""
 
+import datetime
+import hashlib
+import random
 import re
 from collections import Counter
 
@@ -120,3 +123,110 @@ def test_pseudonyms_of_nothing(spark, docs):
     assert pii.pseudonymize(docs([])).collect() == []
     counts = Counter(r.n_values for r in pii.pseudonymize(docs(["a 1.2.3.4", "a 1.2.3.4"])).collect())
     assert counts == {1: 2}
+
+
+def plain_permute(x, a, b, key, tweak):
+    number = lambda s: int(hashlib.sha256(s.encode()).hexdigest()[:15], 16)
+
+    def network(x, rounds, sign):
+        left, right = divmod(x, b)
+        for i in rounds:
+            f = number("|".join((key, tweak, str(i), str(left if i % 2 else right))))
+            left, right = (left, (right + sign * f) % b) if i % 2 else ((left + sign * f) % a, right)
+        return left * b + right
+
+    n = a * b
+    shifted = (network(x, range(8), 1) + 1 + number("|".join((key, tweak, "shift"))) % (n - 1)) % n
+    return network(shifted, reversed(range(8)), -1)
+
+
+def plain_string(s, base, key, tweak):
+    half = len(s) // 2
+    x = plain_permute(int(s, base), base ** (len(s) - half), base**half, key, tweak)
+    out = ""
+    for _ in s:
+        x, r = divmod(x, base)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
+    return out
+
+
+def plain_filled(form, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in form)
+
+
+def plain_pieces(pattern, s, change):
+    out, at = [], 0
+    for m in re.finditer(pattern, s):
+        out.append(change(m[0], s[: m.start()]))
+    return "".join(out)
+
+
+def plain_pseudonym(kind, m, key):
+    digits = re.sub("[^0-9]", "", m)
+    if kind in ("phone", "social"):
+        return plain_filled(m, plain_string(digits, 10, key, kind))
+    if kind == "card":
+        body = plain_string(digits[:-1], 10, key, "card")
+        return plain_filled(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "secret":
+        new = plain_pieces(".{1,12}", m.lower(), lambda p, before: plain_string(p, 16, key, "secret" + before))
+        return new if m == m.lower() else new.upper()
+    if kind == "ip":
+        n = plain_permute(int.from_bytes(map(int, m.split(".")), "big"), 1 << 16, 1 << 16, key, "ip")
+        return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "date":
+        form = "%Y-%m-%d" if "-" in m else "%d/%m/%Y" if "/" in m else "%d.%m.%Y"
+        first = datetime.datetime(1900, 1, 1)
+        day = plain_permute((datetime.datetime.strptime(m, form) - first).days, 250, 292, key, "date")
+        return (first + datetime.timedelta(day)).strftime(form)
+    if kind == "iban":
+        plain = m.replace(" ", "")
+        account = plain[4:]
+        numbers = re.sub("[^0-9]", "", account)
+        account = plain_filled(account, plain_pieces(".{1,15}", numbers, lambda p, before: plain_string(p, 10, key, "iban" + plain[:2] + before)))
+        check = 98 - int("".join(str(int(c, 36)) for c in account + plain[:2] + "00")) % 97
+        rest = iter(f"{plain[:2]}{check:02d}{account}")
+        return "".join(c if c == " " else next(rest) for c in m)
+    local, domain = m.split("@")
+
+    def change(p, before):
+        tweak = "email" + before.lower() + "@" + domain.lower()
+        if p[0].isdigit():
+            return plain_string(p, 10, key, tweak)
+        low = "".join("0123456789abcdefghijklmnop"["abcdefghijklmnopqrstuvwxyz".index(c)] for c in p.lower()) if re.match("[a-zA-Z]", p) else None
+        if low is None:
+            return p
+        new = "".join("abcdefghijklmnopqrstuvwxyz"[int(c, 26)] for c in plain_string(low, 26, key, tweak))
+        return new if p[0].islower() else new.upper()
+
+    return plain_pieces("[0-9]{1,17}|[a-z]{1,12}|[A-Z]{1,12}|[^0-9a-zA-Z]+", local, change) + "@" + domain
+
+
+def test_pseudonyms_as_brute_force(spark, docs):
+    rng = random.Random(3)
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    digits, values = "0123456789", []
+    for _ in range(12):
+        body = pick(digits[1:], 15)
+        values.append(("card", body + next(c for c in digits if luhn(body + c))))
+        values.append(("secret", pick("0123456789abcdef", rng.randint(32, 64))))
+        values.append(("secret", pick("0123456789ABCDEF", 40)))
+        account = pick(digits, rng.randint(11, 26))
+        values.append(("iban", f"DE{98 - int(account + '131400') % 97:02d}{account}"))
+        values.append(("phone", f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}"))
+        values.append(("phone", f"+49 30 {pick(digits, 4)} {pick(digits, 4)}"))
+        values.append(("ip", ".".join(str(rng.randrange(256)) for _ in range(4))))
+        values.append(("social", f"1{pick(digits, 2)}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"))
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73000))
+        values += [("date", day.strftime(f)) for f in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y")]
+        values.append(("email", f"{pick('abcXYZ019._-', rng.randint(1, 50))}q@{pick('abc', 5)}.Mail-{pick(digits, 2)}.org"))
+    rows = sorted(pii.pseudonymize(docs([f"; {m}; " for _, m in values]), "k2").collect(), key=lambda r: r.doc_id)
+    assert [(r.text, r.n_values) for r in rows] == [(f"; {plain_pseudonym(kind, m, 'k2')}; ", 1) for kind, m in values]
+
+
+def test_hostile_texts(spark, docs):
+    size = 1 << 20
+    texts = ["x@" + "a." * 2000 + "1", "x@" + "a." * (size // 2) + "1", "a." * (size // 2), "a-" * (size // 2), "1" * size, " " * size, "x" * size + "@a.org", "1 " * (size // 2), "+1 " * (size // 3), "(1" * (size // 2), "1." * (size // 2), "x@" * (size // 2), "AB12 CDEF " * (size // 10)]
+    rows = sorted(pii.pseudonymize(docs(texts)).select("doc_id", "text", "n_values").collect())
+    assert [r.text for r in rows] == texts and not any(r.n_values for r in rows)

@@ -12,11 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "weftlink pseudonyms"
+#: The session's setting that holds the key, and the key where it is unset, as in tests: whoever knows the key can undo pseudonyms.
+KEY_SETTING, KEY = "spark.weftlink.pii.key", "weftlink pseudonyms"
 ROUNDS = 8
 _FIRST_DAY, _DAYS = "1900-01-01", (250, 292)  # 73,000 days, up to 2099-11-12
 _LETTERS, _DIGITS26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+[A-Za-z]{2,}"
+#: All repetitions of groups are bounded: the matcher recurs for each, and a local part has 64 characters, a domain 127 parts of 63 at most.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,126}[A-Za-z]{2,63}"
 SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 #: North American numbers first: what follows them is not taken for more of them.
@@ -225,14 +227,17 @@ def _has(kind: str):
     return lambda x: x["kind"] == kind
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs (text, ...) with its validated values replaced, and n_values, their number, and n_<kind> for each kind.
 
-    Dates are valid if they exist from 1900-01-01 to 2099-11-12, cards by their Luhn digit, account numbers by their
-    remainder, IP addresses by their bytes, social numbers by their ranges; phone numbers, mail addresses and
-    hexadecimal secrets of 32 to 64 digits by their form. All other text stays as it is, invalid numbers included. Null and empty texts stay, with 0 values. Rows are
-    independent, so repeated rows stay equal; columns with the added names are replaced; an empty table gives no rows.
+    key: of the permutations; by default the session's KEY_SETTING, and KEY where that is unset. Dates are valid if
+    they exist from 1900-01-01 to 2099-11-12, cards by their Luhn digit, account numbers by their remainder, IP
+    addresses by their bytes, social numbers by their ranges; phone numbers, mail addresses and hexadecimal secrets of
+    32 to 64 digits by their form. All other text stays as it is, invalid numbers included. Null and empty texts stay,
+    with 0 values; texts of any length are read whole. Rows are independent, so repeated rows stay equal; columns with
+    the added names are replaced; an empty table gives no rows.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     added = ["n_values", *[f"n_{k}" for k in KINDS]]
     before = docs.drop(*added)
     some = F.col("text").rlike("[0-9@]")
