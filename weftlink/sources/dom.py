@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+from weftlink.sources.markup import Markup
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; that of the second set still has character references.
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes".split())
@@ -26,15 +28,17 @@ _IMPLIED = {
     "tfoot": (frozenset(("thead", "tbody", "tfoot")), frozenset(("table", "body"))),
 }
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements deeper than this are put beside one another, as browsers do.
+DEEPEST = 512
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "parent", "children")
+    __slots__ = ("tag", "attributes", "parent", "children", "depth")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.children: list[Element | str] = []
 
     def descendants(self) -> Iterator[Element]:
@@ -132,7 +136,7 @@ class _Builder:
                 self.close_p()
         element = Element(tag, given, self.now)
         self.now.children.append(element)
-        if tag not in VOID and not (raw.endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "g")):
+        if tag not in VOID and not (raw.endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "g")) and element.depth < DEEPEST:
             self.now = element
         return element
 
@@ -155,33 +159,30 @@ class _Builder:
 
 def parse(page: str) -> Element:
     """The html element, with a head and a body."""
-    build = _Builder()
+    build, markup = _Builder(), Markup(page)
     at, end = 0, len(page)
     while at < end:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        found = markup.next(at)
+        if found is None:
             build.text(unescape(page[at:]))
             break
-        if m.start() > at:
-            build.text(unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        if found.start > at:
+            build.text(unescape(page[at : found.start]))
+        at, tag = found.end, found.name
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if found.closing:
             build.end(tag)
             continue
-        element = build.start(tag, m[3])
+        element = build.start(tag, found.raw)
         if element is not None and (tag in RAW_TEXT or tag in ESCAPED_TEXT):
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            data = page[at : close.start() if close else end]
-            at = close.end() if close else end
+            stop, after = markup.raw_end(tag, at)
+            data, at = page[at:stop], after
             element.children.append(unescape(data) if tag in ESCAPED_TEXT else data)
             if build.now is element:
                 build.now = element.parent
         elif element is not None and element.parent is build.head and build.now is None and tag in ("noscript", "template"):
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = markup.raw_end(tag, at)[1]
     return build.root
 
 
