@@ -1,3 +1,10 @@
+import math
+import os
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
 from weftlink.llm import sitetree
 
 
@@ -21,7 +28,7 @@ def test_repeated_branches_of_a_host_go(spark):
     page = lambda i: f'<body><div class="lead"><span>Same slogan everywhere</span></div><div class="story"><p>Story number {i * i} of the day</p></div><div class="tail"><p>Imprint and legal</p></div></body>'
     many = [(f"https://Host.example/{i}", page(i)) for i in range(20)] + [(f"https://few.example/{i}", page(i)) for i in range(3)]
     for limit in (200_000, 0):
-        rows = sorted(sitetree.main_text(pages(spark, many), broadcast_rows=limit).collect())
+        rows = sorted(sitetree.main_text(pages(spark, many), broadcast_bytes=limit).collect())
         assert [r.text for r in rows[:20]] == [f"Story number {i * i} of the day" for i in range(20)]
         assert rows[20].text == "Same slogan everywhere\nStory number 0 of the day\nImprint and legal"
 
@@ -45,3 +52,55 @@ def test_odd_pages(spark):
     assert got[:4] == ["", "", "plain <text> x", "a\nb d"]
     assert got[4] == "deep" and got[5] == "\n".join(["word"] * 5000) and got[6] == "A\nB" and got[7] == "a < b <c"
     assert sitetree.main_text(pages(spark, rows).limit(0)).collect() == []
+
+
+def test_importance_as_brute_force(spark):
+    many = [("http://a/", f'<body><nav><a>{i % 3}</a></nav><div class="x">{"<p>t</p>" * (i % 4)}{i // 2}</div><main><p>{i}</p></main></body>') for i in range(12)]
+    many += [("http://b/", "<p>one</p>"), ("http://b/", "<p>one</p>"), (None, None)]
+    seen = defaultdict(set)
+    for url, html in many:
+        host = (url or "")[7:-1]
+        at = defaultdict(list)
+        for path, shown, told, _, _ in sitetree.branches(sitetree.tree(html or "")):
+            at[path].append((shown, told))
+        for path, x in at.items():
+            seen[host, path].add((html, tuple(a for a, _ in x), tuple(b for _, b in x)))
+    expected = {}
+    for key, rows in seen.items():
+        n, h = len(rows), []
+        for side in (1, 2):
+            counts = Counter(r[side] for r in rows).values()
+            h.append(-sum(c / n * math.log(c / n) for c in counts) / math.log(n) if n > 1 else 1.0)
+        expected[key] = (n, h[0], 0.1 * h[0] + 0.9 * h[1])
+    rows = sitetree.importance(sitetree.branch_rows(pages(spark, many))).collect()
+    got = {(r.host, r.path): (r.pages, r.look, r.importance) for r in rows}
+    assert got.keys() == expected.keys() and all(x == pytest.approx(expected[k], abs=1e-9) for k, x in got.items())
+
+
+def test_a_name_does_not_hide_the_main_text(spark):
+    story = lambda i: f'<body><div class="menu">Menu {i}</div><div class="story social">{"".join(f"<div>Line {k} of story {i}</div>" for k in range(9 + i))}</div><div class="comments">{"".join(f"<p>I agree {k} {i}</p>" for k in range(3 + i))}</div></body>'
+    for limit in (1000, 0):
+        rows = sorted(sitetree.main_text(pages(spark, [(f"http://h/{i}", story(i)) for i in range(10)]), broadcast_bytes=limit).collect())
+        assert [r.text for r in rows] == ["\n".join(f"Line {k} of story {i}" for k in range(9 + i)) for i in range(10)]
+
+
+DRIVER = "/root/testdata/sf0.1/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DRIVER), reason="needs the driver's tables")
+def test_importance_decides_without_names(spark):
+    """On the driver's pages the tree removes branches on its own, and with a class that says nothing the same text is left."""
+    table = spark.read.parquet(DRIVER)
+    told = sitetree.decisions(sitetree.importance(sitetree.branch_rows(table))).groupBy("why").count().collect()
+    assert {r.why for r in told if r["count"] >= 50} >= {"judged", "furniture"}
+    blank = table.withColumn("html", F.regexp_replace("html", 'class="ad"', 'class="q7"'))
+    told = sitetree.decisions(sitetree.importance(sitetree.branch_rows(blank))).where("why = 'plain'").collect()
+    assert len(told) >= 50 and {r.path for r in told} == {"/html/body/div.q7"}
+    assert sorted(sitetree.main_text(table).collect()) == sorted(sitetree.main_text(blank).collect())
+
+
+def test_long_hostile_pages(spark):
+    size = 1 << 18
+    odd = ["<a " * (size // 3), "<!" * (size // 2), "<a b='" * (size // 6), "<div>" * (size // 5), "<b>" * (size // 6) + "</i>" * (size // 8), "<div>" * 10_000 + "</x>" * 20_000, "<p>" * (size // 3), "<" * size]
+    rows = sorted(sitetree.main_text(pages(spark, [("http://x", h) for h in odd])).collect())
+    assert [r.n_chars for r in rows][:2] == [size // 3 * 3 - 1, 0] and rows[3].text == ""
