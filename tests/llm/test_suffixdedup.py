@@ -34,11 +34,28 @@ def corpus(prose):
     return texts
 
 
-@pytest.mark.parametrize("width, wide_sites, broadcast_numbers", [(100, 20_000, 500_000), (100, 2, 500_000), (60, 20_000, 0), (400, 20_000, 500_000)])
-def test_as_brute_force(spark, docs, prose, width, wide_sites, broadcast_numbers):
+@pytest.mark.parametrize("width, wide, block, broadcast_numbers", [(100, 250, 32, 500_000), (100, 2, 8, 500_000), (100, 1, 7, 0), (60, 250, 32, 0), (400, 250, 32, 500_000)])
+def test_as_brute_force(spark, docs, prose, width, wide, block, broadcast_numbers):
     texts = corpus(prose)
-    rows = sorted(suffixdedup.deduplicate(docs(texts).withColumnRenamed("source", "key").repartition(3), width, wide_sites, broadcast_numbers).collect())
+    rows = sorted(suffixdedup.deduplicate(docs(texts).withColumnRenamed("source", "key").repartition(3), width, wide, block, broadcast_numbers, with_bytes=True).collect())
     assert [tuple(r)[1:5] for r in rows] == plain(texts, width)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.text == r.kept.decode(errors="ignore") for r in rows)
+    assert [r.text for r, t in zip(rows, texts) if not r.n_removed] == [t or "" for r, t in zip(rows, texts) if not r.n_removed]
+
+
+def test_passages_of_many_texts(spark, docs, prose):
+    passage = prose(9, 40)
+    texts = [prose(1000 + i, 12) + " " + passage[i % 7 :] + " " + prose(5000 + i % 90, 9) for i in range(300)]
+    for wide in (50, 1000):
+        rows = sorted(suffixdedup.deduplicate(docs(texts), 100, wide, 16).collect())
+        assert [tuple(r)[1:5] for r in rows] == plain(texts, 100)
+
+
+def test_batches_do_not_matter(prose):
+    texts = [prose(i, 300).encode() for i in range(20)]
+    find = suffixdedup.SiteFinder(100)
+    alone = [(i, *s[1:]) for i, t in enumerate(texts) for s in find([t])]
+    assert list(find(texts)) == alone
 
 
 def test_empty_table_and_repeated_rows(spark, docs, prose):

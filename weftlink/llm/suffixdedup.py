@@ -6,6 +6,10 @@ strings have equal ones. Runs of starts with the same leading gram form a site,
 strings cover. Grams that occur at one site only are done. The distinct contexts of the others are dealt by gram, and
 each task sorts their suffixes by the difference cover modulo 3: it sorts the triples at sampled positions, recurs on
 their names, merges the remaining suffixes and compares adjacent prefixes of `width` bytes.
+
+A gram with very many distinct contexts is not left to one task. Its contexts are cut into blocks of starts at which the
+gram has about the same offset, and the bytes that all strings of a block share are the key under which blocks meet.
+What then still has many different blocks is cut once more, into single strings, which are counted by their hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ WIDTH = 400
 SORT_BYTES = 1 << 20
 #: Tables of up to so many numbers of 8 bytes at most, in their rows and arrays, are broadcast; larger ones are joined by a shuffle.
 BROADCAST_NUMBERS = 8_000_000
-#: Sites of a gram above which its strings are hashed one by one instead of sorted in one task.
-WIDE_SITES = 20_000
+#: Distinct contexts above which a gram is not sorted in one task but cut into blocks of starts, and starts of a block.
+WIDE = 250
+BLOCK = 32
+#: A gram's place takes this many of the low bits of what grams are compared by, whatever the batch's length.
+_PLACE_BITS = np.uint64(32)
 _FACTOR = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -151,9 +158,8 @@ class SiteFinder:
         if len(self._powers[0]) < len(raw):
             self._powers = _powers(max(len(raw), common.GROUP_BYTES))
         hashes = _gram_hashes(raw, gram, self._powers)
-        bits = np.uint64(len(raw).bit_length())
-        places = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-        owner = (_sliding_least(places, width - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        places = (hashes >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
+        owner = (_sliding_least(places, width - gram + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
         begin = 0
         for number, text in enumerate(texts):
             starts = len(text) - width + 1
@@ -193,19 +199,30 @@ def sites(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid long, key long, ctx long, first int, starts int, rel int")
 
 
+_CONTEXT = [("key", pa.int64()), ("ctx", pa.int64()), ("m", pa.int64()), ("starts", pa.int32()), ("rel", pa.int32()), ("bytes", pa.binary())]
+
+
+def _batches(rows: list[tuple], columns: list[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    names, types = zip(*columns)
+    for at in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + size]), types)], names=names)
+
+
 def _contexts(docs: DataFrame, wanted: DataFrame, width: int, small: bool) -> DataFrame:
-    """(key, ctx, m, starts, bytes) of the sites in wanted (doc_id, tid, list of (key, ctx, m, first, starts))."""
+    """(key, ctx, m, starts, rel, bytes) of the sites in wanted (doc_id, tid, list of (key, ctx, m, first, starts, rel))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in common.groups(batch, 0):
-                rows = [(s["key"], s["ctx"], s["m"], s["starts"], text[s["first"] : s["first"] + s["starts"] - 1 + width]) for text, found in zip(common.as_bytes(some.column(0)), some.column(1).to_pylist()) for s in found]
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000]), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "ctx", "m", "starts", "bytes"])
+                rows = [
+                    (s["key"], s["ctx"], s["m"], s["starts"], s["rel"], text[s["first"] : s["first"] + s["starts"] - 1 + width])
+                    for text, found in zip(common.as_bytes(some.column(0)), some.column(1).to_pylist())
+                    for s in found
+                ]
+                yield from _batches(rows, _CONTEXT)
 
     texts = docs.join(F.broadcast(wanted) if small else wanted, ["doc_id", "tid"]).select("text", "list")
-    rows = texts.mapInArrow(run, "key long, ctx long, m long, starts int, bytes binary")
-    return rows
+    return texts.mapInArrow(run, "key long, ctx long, m long, starts int, rel int, bytes binary")
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -229,7 +246,7 @@ def _sorted_runs(contexts: DataFrame, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "m", "lo", "hi"])
 
         for batch in batches:
-            for key, ctx, m, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
+            for key, ctx, m, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if key != last and size >= SORT_BYTES:
                     yield flush()
                     size = 0
@@ -240,21 +257,63 @@ def _sorted_runs(contexts: DataFrame, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, ctx long, m long, lo int, hi int")
+    return contexts.select("key", "ctx", "m", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, ctx long, m long, lo int, hi int")
 
 
-def _hashed_runs(contexts: DataFrame, width: int) -> DataFrame:
-    """The same for grams of very many sites: each string by itself, as 128 bits of hash, counted over all tasks."""
+def _cut(contexts: DataFrame, width: int, block: int) -> DataFrame:
+    """(key, ctx, m, lo, key2, ctx2, starts, rel, bytes): contexts in pieces of up to `block` starts, from lo on.
+
+    Pieces end where the gram's offset in a string is a multiple of block, so equal strings are in pieces with one key2,
+    the hash of what all strings of such a piece share. ctx2 is the piece's own hash. For single strings these two are
+    128 bits of the string, and bytes is left out.
+    """
+    columns = [("key", pa.int64()), ("ctx", pa.int64()), ("m", pa.int64()), ("lo", pa.int32()), ("key2", pa.int64()), ("ctx2", pa.int64()), ("starts", pa.int32()), ("rel", pa.int32()), ("bytes", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, ctx, m, starts, text = (batch.column(k)[i].as_py() for k in range(5))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * starts), pa.array([ctx] * starts), pa.array([m] * starts), pa.array(range(starts), pa.int32()), pa.array([xxhash.xxh3_128_digest(text[s : s + width]) for s in range(starts)], pa.binary())], names=["key", "ctx", "m", "lo", "string"])
-
-    strings = common.cut_lineage(contexts.mapInArrow(run, "key long, ctx long, m long, lo int, string binary"))
-    often = strings.groupBy("string").agg(F.sum("m").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n")
-    return common.salted_join(strings, often, ["string"], ["ctx", "lo"], "rows").select("key", "ctx", "m", "lo", (F.col("lo") + 1).alias("hi"))
+            for key, ctx, m, starts, rel, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                lo = 0
+                while lo < starts:
+                    offset = rel - lo  # the gram's, in the string that starts at lo
+                    least = offset // block * block
+                    n = min(offset - least + 1, starts - lo)
+                    piece = text[lo : lo + n - 1 + width]
+                    if block == 1:
+                        both = xxhash.xxh3_128_intdigest(piece)
+                        rows.append((key, ctx, m, lo, _signed(both >> 64), _signed(both & (1 << 64) - 1), 1, 0, None))
+                    else:
+                        # shared by the strings whose gram is at least .. least + block - 1
+                        shared = text[rel - least : rel - least - block + 1 + width]
+                        rows.append((key, ctx, m, lo, _signed(xxhash.xxh64_intdigest(shared, key & 0xFFFFFFFF ^ least)), _signed(xxhash.xxh64_intdigest(piece, offset)), n, offset, piece))
+                    lo += n
+                if len(rows) >= 2000:
+                    yield from _batches(rows, columns)
+                    rows.clear()
+        yield from _batches(rows, columns)
+
+    kept = contexts.select("key", "ctx", "m", "starts", "rel", "bytes")
+    return kept.mapInArrow(run, "key long, ctx long, m long, lo int, key2 long, ctx2 long, starts int, rel int, bytes binary")
+
+
+def _cut_runs(contexts: DataFrame, width: int, wide: int, block: int) -> DataFrame:
+    """(key, ctx, m, lo, hi) as _sorted_runs(), of contexts of grams that have too many of them for one task."""
+    parts = common.cut_lineage(_cut(contexts, width, block))
+    one = [F.first(c).alias(c) for c in ("starts", "rel", "bytes")[: 3 if block > 1 else 1]]
+    shared = common.cut_lineage(parts.groupBy("key2", "ctx2").agg(F.sum("m").alias("m"), F.count("*").alias("rows"), *one))
+    if block == 1:
+        runs = shared.where("m > 1").select(F.col("key2").alias("key"), F.col("ctx2").alias("ctx"), "m", F.lit(0).alias("lo"), F.col("starts").alias("hi"))
+    else:
+        sizes = shared.groupBy("key2").agg(F.count("*").alias("d"), F.sum("m").alias("n")).where("n > 1").withColumn("w", F.col("d"))
+        met = common.cut_lineage(common.salted_join(shared.drop("rows"), sizes, ["key2"], ["ctx2"], "w").withColumnsRenamed({"key2": "key", "ctx2": "ctx"}))
+        runs = met.where("d = 1").select("key", "ctx", "m", F.lit(0).alias("lo"), F.col("starts").alias("hi"))
+        runs = runs.unionByName(_sorted_runs(met.where(F.col("d").between(2, wide)), width))
+        if met.where(F.col("d") > wide).limit(1).count():
+            runs = runs.unionByName(_cut_runs(met.where(F.col("d") > wide), width, wide, 1))
+    named = _runs_by_context(runs).select(F.col("key").alias("key2"), F.col("ctx").alias("ctx2"), "runs").join(shared.select("key2", "ctx2", "rows"), ["key2", "ctx2"])
+    hits = common.salted_join(parts.select("key", "ctx", "m", "lo", "key2", "ctx2"), named, ["key2", "ctx2"], ["key", "ctx"], "rows")
+    hits = hits.select("key", "ctx", "m", "lo", F.explode("runs").alias("r"))
+    return hits.select("key", "ctx", "m", (F.col("lo") + F.col("r.lo")).alias("lo"), (F.col("lo") + F.col("r.hi")).alias("hi"))
 
 
 def _disjoint(los: list[int], his: list[int]) -> list[int]:
@@ -300,7 +359,7 @@ def _runs_by_context(runs: DataFrame) -> DataFrame:
     return each.mapInArrow(run, "key long, ctx long, m long, runs array<struct<lo:int,hi:int>>")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITES, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, wide: int = WIDE, block: int = BLOCK, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """(doc_id, tid, spans) of the rows of docs (doc_id, tid, text) with bytes that repeated strings cover."""
     all_sites = sites(docs, width)  # found twice: that costs less than to write and read them
     keys = all_sites.groupBy("key").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1")
@@ -311,33 +370,39 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_S
     end = F.lit(width - 1)
     alike = met.where("NOT mixed").select("doc_id", "tid", F.col("first").alias("lo"), (F.col("first") + F.col("starts") + end).alias("hi"))
     mixed = met.where("mixed")
-    one = F.min(F.struct("doc_id", "tid", "first", "starts")).alias("one")
-    distinct = mixed.groupBy("key", "ctx").agg(F.count("*").alias("m"), F.max("n").alias("n"), one)
-    wanted = distinct.select("one.doc_id", "one.tid", F.struct("key", "ctx", "m", "one.first", "one.starts", "n").alias("s"))
-    by_doc = common.cut_lineage(wanted.groupBy("doc_id", "tid").agg(F.collect_list("s").alias("list")))
-    small = _numbers(by_doc, "list", 6) <= broadcast_numbers
-
-    def of(wide: bool) -> DataFrame:
-        return _contexts(docs, by_doc.withColumn("list", F.filter("list", lambda s: (s.n > wide_sites) == F.lit(wide))).where(F.size("list") > 0), width, small)
-
-    runs = _sorted_runs(of(False), width)
-    if mixed.where(F.col("n") > wide_sites).limit(1).count():
-        runs = runs.unionByName(_hashed_runs(of(True), width))
+    one = F.min(F.struct("doc_id", "tid", "first", "starts", "rel")).alias("one")
+    distinct = common.cut_lineage(mixed.groupBy("key", "ctx").agg(F.count("*").alias("m"), one).select("key", "ctx", "m", "one.*"))
+    many = common.cut_lineage(distinct.groupBy("key").agg(F.count("*").alias("d")).where(F.col("d") > wide))  # under a part in `wide` of the contexts
+    n_many = many.count()
+
+    def contexts(some: DataFrame) -> DataFrame:
+        item = F.struct("key", "ctx", "m", "first", "starts", "rel")
+        by_doc = common.cut_lineage(some.groupBy("doc_id", "tid").agg(F.collect_list(item).alias("list")))
+        return _contexts(docs, by_doc, width, _numbers(by_doc, "list", 6) <= broadcast_numbers)
+
+    if n_many:
+        small = 2 * n_many <= broadcast_numbers
+        marked = distinct.join(F.broadcast(many), "key", "left") if small else common.salted_join(distinct, many.withColumn("w", F.col("d")), ["key"], ["ctx"], "w", "left")
+        marked = common.cut_lineage(marked)
+        runs = _sorted_runs(contexts(marked.where("d IS NULL")), width).unionByName(_cut_runs(contexts(marked.where("d IS NOT NULL")), width, wide, block))
+    else:
+        runs = _sorted_runs(contexts(distinct), width)
     hits = common.salted_join(mixed, _runs_by_context(runs), ["key", "ctx"], ["doc_id", "first"], "m").select("doc_id", "tid", "first", F.explode("runs").alias("r"))
     hits = hits.select("doc_id", "tid", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + end).alias("hi"))
     return _merged(alike.unionByName(hits))
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITES, broadcast_numbers: int = BROADCAST_NUMBERS, with_kept: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs (doc_id, text).
+def deduplicate(docs: DataFrame, width: int = WIDTH, wide: int = WIDE, block: int = BLOCK, broadcast_numbers: int = BROADCAST_NUMBERS, with_bytes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, kept) for each row of docs (doc_id, text).
 
     A byte is removed if a string of `width` bytes covers it that starts anywhere else too, in the same text or
     another, judged on the input. A null text counts as empty; texts under `width` bytes stay whole. Repeated rows are
     texts of their own, so each has its bytes removed. Other columns are not read. An empty table gives no rows.
-    kept: the remaining bytes, without with_kept left out.
+    text: what remains, without the bytes of a character that was cut in two; kept: the remaining bytes as they are,
+    only with with_bytes.
     """
     docs = docs.select("doc_id", text_key().alias("tid"), "text")
-    spans = common.cut_lineage(repeated_spans(docs, width, wide_sites, broadcast_numbers))
+    spans = common.cut_lineage(repeated_spans(docs, width, wide, block, broadcast_numbers))
     few = _numbers(spans, "spans", 1) <= broadcast_numbers
     joined = docs.join(F.broadcast(spans) if few else spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
 
@@ -348,10 +413,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, wide_sites: int = WIDE_SITE
                 for text, bounds in zip(common.as_bytes(some.column(1)), some.column(2).to_pylist()):
                     bounds = bounds or []
                     edges = [0, *bounds, len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    rows.append((len(text), len(text) - len(kept), len(bounds) // 2, hashlib.sha256(kept).hexdigest(), kept)[: len(names) - 1])
+                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if bounds else text
+                    rows.append((len(text), len(text) - len(kept), len(bounds) // 2, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), kept)[: len(names) - 1])
                 yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_kept]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"][: 6 + with_bytes]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + ", kept binary" * with_bytes)
