@@ -48,7 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return suffixdedup.deduplicate(table(spark, sf_dir, "documents")).drop("text")
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
