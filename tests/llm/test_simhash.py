@@ -74,7 +74,7 @@ def test_values_with_one_mix_are_told_apart(monkeypatch):
     fps = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(6)]))
     pairs = set()
     for part in range(2):
-        pairs |= {tuple(sorted(p)) for p in simhash.meet(fps, part, 1, 2).tolist()}
+        pairs |= {tuple(sorted(p)) for p in simhash.meet(fps, part, 1, 2)[0].tolist()}
     for a, b in pairs:
         assert int(fps[a] ^ fps[b]).bit_count() <= 4
 
@@ -101,3 +101,48 @@ def test_empty_table_and_repeated_rows(spark, docs):
     assert simhash.near_duplicates(docs([])).collect() == []
     rows = simhash.near_duplicates(docs(["a b"]).union(docs(["a b"]))).collect()
     assert [r.component_id for r in rows] == [0, 0]
+
+
+def test_each_value_is_made_once():
+    """The work is 2,081 values for each fingerprint, in all turns of a part together, at any number of fingerprints."""
+    rng = np.random.default_rng(8)
+    for n in (60, 240, 960):
+        fps = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        for turn_bits in (0, 3, 12):
+            made, met = 0, 0
+            for part in range(4):
+                low = simhash.BITS - 2
+                for turn in range(1 << turn_bits):
+                    if turn_bits == 12 and turn % 512:
+                        continue
+                    pairs, values = simhash.meet(fps, part, 2, 2, turn, turn_bits)
+                    made, met = made + values, met + len(pairs)
+            if turn_bits < 12:
+                assert made == len(fps) * 2081
+            assert low == 62 and met >= 0
+
+
+def test_rows_for_the_turns_of_a_part(spark):
+    rng = np.random.default_rng(9)
+    centre = int(rng.integers(0, 1 << 62))
+    fps = {centre ^ sum(1 << int(b) for b in rng.choice(40, 3, replace=False)) for _ in range(300)}
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(sorted(fps))], "node long, fp long")
+    wide = nodes.selectExpr("node", "fp", f"{centre >> 60}L AS part", "4 AS turn_bits")
+    dealt = simhash._dealt(wide, 4, 2)
+    assert dealt.groupBy("node").count().agg({"count": "max"}).first()[0] <= 16
+    seen = {(i, j) for turn in range(16) for rows in [[r.fp for r in dealt.where(f"turn = {turn}").collect()]] for a, b in simhash.meet(np.array(rows, np.uint64), centre >> 60, 4, 2, turn, 4)[0].tolist() for i, j in [tuple(sorted((rows[a], rows[b])))]}
+    whole = sorted(fps)
+    expected = {tuple(sorted((whole[a], whole[b]))) for a, b in simhash.meet(np.array(whole, np.uint64), centre >> 60, 4, 2)[0].tolist()}
+    assert plain_components_of(seen) == plain_components_of(expected)
+
+
+def plain_components_of(pairs):
+    least = {x: x for p in pairs for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    return least
