@@ -39,7 +39,7 @@ def test_every_id_is_packed_once(spark, docs, prose):
     texts = [prose(i, 1 + 37 * i % 900) for i in range(120)] + [None, "", " \n\t ", "a b c \x1cd é", "<|endoftext|> it's 1234", prose(7, 9000), prose(3, 50), prose(3, 50)]
     frame = docs(texts)
     assert hold(packing.pack(frame.repartition(3)).collect(), whole(texts)) == 0
-    assert hold(packing.pack(frame.coalesce(1), max_open=4).collect(), whole(texts)) == 0
+    assert hold(packing.pack(frame.coalesce(1), held_bytes=9000).collect(), whole(texts)) == 0
 
 
 def test_empty_table_and_odd_columns(spark, docs):
@@ -72,6 +72,6 @@ def test_level_has_the_least_sum_of_squares():
             n[h + size] += h + size < 40
             costs[int(h)] = int((n[1:40].astype(int) ** 2).sum())
         assert costs[level] == min(costs.values())
-        packer.place((0, 0, np.zeros(size, "<u4"), size))
+        packer.place(0, 0, np.zeros(size, "<u4"), size)
         assert (packer.counts == [len(w) for w in packer._windows]).all()
     assert closed

@@ -7,6 +7,7 @@ that level smallest. The counts stand in one array by level, so placing costs on
 from __future__ import annotations
 
 import os
+import tempfile
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -21,8 +22,8 @@ from weftlink.llm import common
 
 CAPACITY = 4096
 END_ID = 2
-#: Windows that may stand open in a task. Beyond it they are filled up from one another, which bounds memory.
-MAX_OPEN = 1024
+#: Bytes of ids of open windows that a task holds in memory; what exceeds them lies in a file of the task's own.
+HELD_BYTES = 64 << 20
 #: Words whose ids a worker keeps in each of two generations.
 CACHED_WORDS = 300_000
 CACHED_CHARS = 64
@@ -105,14 +106,42 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+class _Ids:
+    """Ids of pieces in open windows: in memory up to a bound, the others in a file that goes with the task."""
+
+    def __init__(self, held_bytes: int):
+        self._left, self._file, self._size = held_bytes, None, 0
+
+    def put(self, ids: np.ndarray) -> np.ndarray | tuple[int, int]:
+        if ids.nbytes <= self._left:
+            self._left -= ids.nbytes
+            return ids.copy()  # a slice would hold the ids of a whole batch
+        if self._file is None:
+            self._file = tempfile.TemporaryFile()
+        self._file.seek(self._size)
+        self._file.write(ids.tobytes())
+        self._size += ids.nbytes
+        return self._size - ids.nbytes, ids.nbytes
+
+    def free(self, held: np.ndarray | tuple[int, int]) -> None:
+        if isinstance(held, np.ndarray):
+            self._left += held.nbytes
+
+    def get(self, held: np.ndarray | tuple[int, int]) -> np.ndarray:
+        if isinstance(held, np.ndarray):
+            return held
+        self._file.seek(held[0])
+        return np.frombuffer(self._file.read(held[1]), "<u4")
+
+
 class SumOfSquaresPacker:
-    """Windows of `capacity` ids. A piece is (doc, start, ids, doc_tokens); a window is a list of pieces."""
+    """Windows of `capacity` ids. close() is given each one as a list of pieces (doc, start, length, crc32 of the ids, doc's length)."""
 
-    def __init__(self, close: Callable[[list], None], capacity: int = CAPACITY, max_open: int = MAX_OPEN):
-        self.capacity, self.max_open, self._close = capacity, max_open, close
+    def __init__(self, close: Callable[[list], None], capacity: int = CAPACITY, held_bytes: int = HELD_BYTES):
+        self.capacity, self._close = capacity, close
         self.counts = np.zeros(capacity + 1, np.int64)
         self._windows: list[list[list]] = [[] for _ in range(capacity + 1)]
-        self._open = 0
+        self._ids = _Ids(held_bytes)
 
     def level_for(self, size: int) -> int:
         """The level whose choice leaves the smallest sum of squares; the fullest of equals; 0: a new window."""
@@ -124,68 +153,51 @@ class SumOfSquaresPacker:
         cost[1:][n[1 : c - size + 1] == 0] = np.iinfo(np.int64).max
         return len(cost) - 1 - int(np.argmin(cost[::-1]))
 
-    def place(self, piece: tuple) -> None:
-        size = len(piece[2])
-        level = self.level_for(size)
+    def place(self, doc, start: int, ids: np.ndarray, total: int) -> None:
+        level = self.level_for(len(ids))
         window = []
         if level:
             window = self._windows[level].pop()
             self.counts[level] -= 1
-            self._open -= 1
-        window.append(piece)
-        self._keep(window, level + size)
-
-    def _keep(self, window: list, level: int) -> None:
-        if level == self.capacity:
-            self._close(window)
+        window.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self._ids.put(ids)))
+        level += len(ids)
+        if level < self.capacity:
+            self._windows[level].append(window)
+            self.counts[level] += 1
             return
-        self._windows[level].append(window)
-        self.counts[level] += 1
-        self._open += 1
-        if self._open > self.max_open:
-            left = self._fill_up()
-            if left:
-                self._keep(left, sum(len(p[2]) for p in left))
+        for piece in window:
+            self._ids.free(piece[5])
+        self._close([piece[:5] for piece in window])
 
     def add(self, doc, ids: np.ndarray) -> None:
         """A whole document; what exceeds a window is cut off in full windows first."""
         full = len(ids) // self.capacity * self.capacity
         for at in range(0, full, self.capacity):
-            self._close([(doc, at, ids[at : at + self.capacity], len(ids))])
+            self._close([(doc, at, self.capacity, zlib.crc32(ids[at : at + self.capacity].tobytes()), len(ids))])
         if full < len(ids):
-            self.place((doc, full, ids[full:], len(ids)))
-
-    def _fill_up(self) -> list:
-        """Closes full windows made of all open ones, fullest first, cutting where a window ends; the rest."""
-        queue = [w for level in range(self.capacity - 1, 0, -1) for w in self._windows[level]]
-        self._windows = [[] for _ in range(self.capacity + 1)]
-        self.counts[:] = 0
-        self._open = 0
-        window, room = [], self.capacity
-        for doc, start, ids, total in (p for w in queue for p in w):
-            while len(ids):
-                window.append((doc, start, ids[:room], total))
-                taken = len(ids[:room])
-                start, ids, room = start + taken, ids[taken:], room - taken
-                if not room:
-                    self._close(window)
-                    window, room = [], self.capacity
-        return window
+            self.place(doc, full, ids[full:], len(ids))
 
     def finish(self) -> None:
-        """Ends the stream. The last window is cut into sequences whose lengths are powers of two, which need no padding."""
-        rest = self._fill_up()
-        while rest:
-            size = 1 << (sum(len(p[2]) for p in rest).bit_length() - 1)
-            window, later = [], []
-            for doc, start, ids, total in rest:
-                if size:
-                    window.append((doc, start, ids[:size], total))
-                if len(ids) > size:
-                    later.append((doc, start + size, ids[size:], total))
-                size -= min(size, len(ids))
-            self._close(window)
-            rest = later
+        """Ends the stream: the open windows are emptied into full ones, fullest first, by cutting where a window ends.
+
+        The last window is cut into sequences whose lengths are powers of two, which need no padding.
+        """
+        left = sum(int(n) * level for level, n in enumerate(self.counts))
+        window, room = [], 0
+        for level in range(self.capacity - 1, 0, -1):
+            for doc, start, _, _, total, held in (p for w in self._windows[level] for p in w):
+                ids = self._ids.get(held)
+                while len(ids):
+                    if not room:
+                        room = min(self.capacity, 1 << (left.bit_length() - 1))
+                    taken = ids[:room]
+                    window.append((doc, start, len(taken), zlib.crc32(taken.tobytes()), total))
+                    start, ids, room, left = start + len(taken), ids[len(taken) :], room - len(taken), left - len(taken)
+                    if not room:
+                        self._close(window)
+                        window = []
+            self._windows[level] = []
+        self.counts[:] = 0
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -194,12 +206,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, held_bytes: int = HELD_BYTES) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text).
 
     Every input partition is packed by itself in one pass without a shuffle, so its windows depend on nothing but
     its rows. A null or empty text is the single id end_id. Repeated rows are packed as often as they occur. Other
-    columns are not read. An empty table gives no rows. sequence_id: the partition's number times 2**32, plus the
+    columns are not read. An empty table gives no rows. Of levels with one cost the fullest is taken. sequence_id: the partition's number times 2**32, plus the
     window's number in it.
     """
     path = tokenizer_path or default_tokenizer()
@@ -210,12 +222,12 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
         def close(window: list) -> None:
             offset = 0
-            for doc, start, ids, total in window:
-                out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + made[0], offset))
-                offset += len(ids)
+            for doc, start, length, crc, total in window:
+                out.append((doc, start, length, crc, total, base + made[0], offset))
+                offset += length
             made[0] += 1
 
-        packer = SumOfSquaresPacker(close, capacity, max_open)
+        packer = SumOfSquaresPacker(close, capacity, held_bytes)
         last = np.array([end_id], "<u4")
         for batch in batches:
             for some in common.groups(batch, limit=ENCODED_BYTES):
