@@ -1,7 +1,8 @@
 """A classifier of text quality by compression.
 
-One zstandard dictionary is trained from texts labelled good and one from texts labelled bad. How much smaller a text
-becomes with the one than with the other, over its size, goes through a logistic curve that is fitted on other labelled texts.
+One zstandard dictionary is trained on pieces of texts labelled good and one on pieces of texts labelled bad. How much
+smaller a text becomes with the one than with the other, over its size, goes through a logistic curve that is fitted on
+other labelled texts.
 """
 
 from __future__ import annotations
@@ -16,12 +17,11 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import common
 
-#: Labelled rows of each label that are learned from at most, and the characters of the longest; half train the dictionaries.
+#: Labelled rows of each label that are learned from at most; half train the dictionaries.
 SAMPLE = 2400
-SAMPLE_CHARS = 12_000
-DICTIONARY_BYTES = 1_000_000
-#: Of one text so many bytes go into a dictionary at most, so that many texts have a share.
-TEXT_BYTES = 1000
+#: Pieces of one labelled text that are learned from at most, spread evenly over all of it.
+SAMPLE_PIECES = 12
+DICTIONARY_BYTES = 400_000
 #: Texts are compressed in pieces of so many bytes, so that a long text leans on the dictionary as a short one does.
 PIECE_BYTES = 1024
 LEVEL = 3
@@ -45,7 +45,7 @@ class CompressionModel:
             import zstandard as zstd
 
             options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            self._both = [zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), **options) for d in (self.good, self.bad)]
+            self._both = [zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(d), **options) for d in (self.good, self.bad)]
         good, bad = self._both
         view = memoryview(text)
         total = 0
@@ -58,8 +58,18 @@ class CompressionModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.difference(text) + self.offset))))
 
 
+def spread(text: bytes, most: int = SAMPLE_PIECES) -> list[bytes]:
+    """All pieces of a text, or `most` of them at even distances, the first and the last included."""
+    n = -(-len(text) // PIECE_BYTES)
+    places = range(n) if n <= most else [k * (n - 1) // (most - 1) for k in range(most)]
+    return [text[k * PIECE_BYTES : (k + 1) * PIECE_BYTES] for k in places]
+
+
 def learn_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]:
-    """(doc_id, text, quality) of at most about `sample` labelled rows of each label, drawn by a hash of doc_id; the share of label 1 among all."""
+    """(doc_id, text, quality) of at most about `sample` labelled rows of each label, drawn by a hash of doc_id; the share of label 1 among all.
+
+    text: bytes, the text's pieces of PIECE_BYTES, or those that spread() takes of a longer one.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & ~common.held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     share = F.lit(0.0)
@@ -67,8 +77,16 @@ def learn_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
         share = F.when(F.col("quality") == label, F.lit(sample / n)).otherwise(share)
     drawn = known.where(common.rank_hash() < share)
     # about 2 * sample ids: the size is bounded by the parameter
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(drawn), "doc_id")
-    return rows.select("doc_id", "text", "quality"), sizes.get(1, 0) / max(1, sum(sizes.values()))
+    rows = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in common.groups(batch):
+                pieces = [b"".join(spread(t)) for t in common.as_bytes(some.column(1))]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pieces, pa.binary()), some.column(2)], names=["doc_id", "text", "quality"])
+
+    schema = f"doc_id long, text binary, quality {labels.schema['quality'].dataType.simpleString()}"
+    return rows.mapInArrow(run, schema), sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[float, float]:
@@ -86,16 +104,23 @@ def _curve(x: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[float, flo
     return float(b[0] / scale), float(b[1])
 
 
-def fit(rows: list[tuple[int, str, int]], prior: float = 0.5) -> CompressionModel:
-    """The model of labelled rows (doc_id, text, quality). With one label only, the curve is flat at that label's side."""
-    rows = sorted(set(rows))
-    part = {q: [t.encode() for i, (_, t, label) in enumerate(r for r in rows if r[2] == q) if i % 2 == 0] for q in (0, 1)}
+def dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary trained on the texts' pieces; of too little text for that, the text itself."""
+    import zstandard as zstd
 
-    def dictionary(texts: list[bytes]) -> bytes:
-        return b"\n".join(t[:TEXT_BYTES] for t in texts)[:DICTIONARY_BYTES] or b"\0" * 8
+    pieces = [p for t in texts for p in spread(t)]
+    try:
+        return zstd.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except zstd.ZstdError:
+        return b"\n".join(pieces)[:DICTIONARY_BYTES] or b"\0" * 8
 
-    model = CompressionModel(dictionary(part[1]), dictionary(part[0]))
-    rest = [(t.encode(), label) for q in (0, 1) for i, (_, t, label) in enumerate(r for r in rows if r[2] == q) if i % 2]
+
+def fit(rows: list[tuple[int, bytes, int]], prior: float = 0.5) -> CompressionModel:
+    """The model of labelled rows (doc_id, text, quality). With one label only, the curve is flat at that label's side."""
+    rows = sorted({(i, bytes(t), q) for i, t, q in rows})
+    of = {q: [t for _, t, label in rows if label == q] for q in (0, 1)}
+    model = CompressionModel(dictionary(of[1][::2]), dictionary(of[0][::2]))
+    rest = [(t, q) for q in (0, 1) for t in of[q][1::2]]
     y = np.array([label for _, label in rest])
     if len(set(y.tolist())) == 2:
         model.slope, model.offset = _curve(np.array([model.difference(t) for t, _ in rest]), y, prior)
@@ -104,11 +129,26 @@ def fit(rows: list[tuple[int, str, int]], prior: float = 0.5) -> CompressionMode
     return model
 
 
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that classify() predicts 1 for, with all their columns; decided row by row, without a shuffle."""
+    rows, prior = learn_rows(docs, labels, sample)
+    model = fit([tuple(r) for r in rows.collect()], prior)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in common.groups(batch, at):
+                yield some.filter(pa.array([model.score(t) >= threshold for t in common.as_bytes(some.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
-    Learns from at most about `sample` rows of each label, of SAMPLE_CHARS characters at most; every whole text is
-    scored. A null text counts as empty, and an empty text has the difference 0. Without labels every score is 0.5.
+    Learns from at most about `sample` rows of each label, of longer ones from SAMPLE_PIECES pieces; every whole text is
+    scored. A null text counts as empty, and an empty text has the difference 0. A null doc_id is not held out, and has
+    no label. Texts with one score are all predicted alike. Without labels every score is 0.5.
     Labels other than 0 and 1 are left out; of a document labelled twice the lower label counts. Repeated rows are
     scored as often as they occur; other columns are not read; an empty table gives no rows.
     """
@@ -121,4 +161,4 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
                 scores = [model.score(t) for t in common.as_bytes(some.column(1))]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text", common.held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", F.coalesce(common.held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
