@@ -23,8 +23,8 @@ LENGTHS = (2, 3, 4)
 #: Labelled rows of each language that are learned from at most, and how many of those are landmarks.
 SAMPLE = 400
 LANDMARKS = 96
-#: Longest labelled text to learn from, in characters: it bounds the sample's bytes.
-SAMPLE_CHARS = 20_000
+#: Rows whose presences are held at once.
+ROWS = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -50,21 +50,27 @@ def has_letters(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ROWS rows and about GROUP_BYTES of text."""
+    for some in common.groups(batch):
+        for at in range(0, some.num_rows, ROWS):
+            yield some.slice(at, ROWS)
+
+
 def learn_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, bits) of at most about `sample` labelled rows of each language, drawn by a hash of doc_id; bits: packed presences."""
+    """(lang, bits) of at most about `sample` labelled rows of each language, drawn by a hash of doc_id; bits: packed presences of the whole text."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out())
     counts = known.groupBy("lang").count()
     drawn = (
         known.select("doc_id", "text", "lang")
         .join(F.broadcast(counts), "lang")  # a row for each language
         .where(common.rank_hash() < F.lit(float(sample)) / F.col("count"))
-        .where(F.length("text") <= SAMPLE_CHARS)
         .select("lang", "text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in common.groups(batch):
+            for some in _slices(batch):
                 bits = np.zeros((some.num_rows, DIM), np.uint8)
                 for row, text in zip(bits, common.as_bytes(some.column(1))):
                     presence(text, row)
@@ -114,8 +120,8 @@ def fit(langs: list[str], bits: list[bytes], landmarks: int = LANDMARKS, ridge:
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs (doc_id, text, lang).
 
-    Learns from at most about `sample` rows of a language, of SAMPLE_CHARS characters at most; every whole text is
-    scored. A null text, or one without letters, is `und` with score 0; so is every text if no row has a label. lang is read only to learn, source
+    Learns from at most about `sample` rows of a language, from the whole text of each; every whole text is scored. Of
+    languages with equal scores the first by name is taken. A null doc_id is not held out, and not learned from. A null text, or one without letters, is `und` with score 0; so is every text if no row has a label. lang is read only to learn, source
     and other columns never. Repeated rows are scored as often as they occur; an empty table gives no rows.
     """
     rows = learn_rows(docs, sample).collect()
@@ -123,7 +129,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in common.groups(batch):
+            for some in _slices(batch):
                 texts = some.column(1).to_pylist()
                 told = [bool(model) and t is not None and has_letters(t) for t in texts]
                 x = np.zeros((len(texts), DIM), np.uint8)
@@ -131,13 +137,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     if ok:
                         presence(text.encode(), row)
                 best, chance = np.zeros(len(texts), int), np.zeros(len(texts))
-                for at in range(0, len(texts) if model else 0, 256):
-                    f = model.scores(x[at : at + 256]).astype(np.float64) * model.scale
+                if model:
+                    f = model.scores(x).astype(np.float64) * model.scale
                     e = np.exp(f - f.max(1, keepdims=True))
-                    best[at : at + 256], chance[at : at + 256] = f.argmax(1), (e / e.sum(1, keepdims=True)).max(1)
+                    best, chance = f.argmax(1), (e / e.sum(1, keepdims=True)).max(1)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(2), pa.array([model.langs[b] if ok else UNKNOWN for b, ok in zip(best, told)], pa.string()), pa.array([float(c) if ok else 0.0 for c, ok in zip(chance, told)], pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    return docs.select("doc_id", "text", common.held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", F.coalesce(common.held_out(), F.lit(False)).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
