@@ -65,7 +65,7 @@ def test_decontamination_as_brute_force(spark, docs, prose):
             if s and len(s & shingles(t or "")) / len(s) >= 0.8:
                 expected[d, b] = (len(s), len(s & shingles(t)))
     for limit in (500_000, 0):
-        rows = decontam.contained_items(docs(texts).withColumnRenamed("source", "shingles"), bench.withColumn("draws", F.lit(1)), broadcast_rows=limit).collect()
+        rows = decontam.contained_items(docs(texts).withColumnRenamed("source", "shingles"), bench.withColumn("draws", F.lit(1)), broadcast_numbers=limit).collect()
         assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in rows} == expected and len(rows) == len(expected)
     assert decontam.contained_items(docs([]), bench).collect() == []
     assert decontam.contained_items(docs(texts[:3]), bench.limit(0)).collect() == []

@@ -17,8 +17,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Draws for an item: twice its partition's lower bound, up to this many. A pair at the least containment is missed if none is found: below 1e-20 with 32.
 MOST_DRAWS = 32
-#: Tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of up to so many numbers of 8 bytes, those in arrays included, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -38,8 +38,9 @@ def _hashed(rows: DataFrame, keep: list[str]) -> DataFrame:
     return some.select(*keep, common.let(hashed, runs).alias("shingles"))
 
 
-def _checked(small: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(small) if rows <= limit else small
+def _numbers(rows: DataFrame, column: str | None = None) -> int:
+    """How many numbers are in rows, its array column included."""
+    return rows.agg(F.sum(F.lit(3) + (F.size(column) if column else F.lit(0)))).first()[0] or 0
 
 
 def _often(lists: DataFrame) -> DataFrame:
@@ -62,28 +63,49 @@ def signatures(index: DataFrame) -> DataFrame:
     return index.select("item_id", F.explode(F.array_distinct(drawn)).alias("shingle"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def text_id(text: str = "text") -> Column:
+    return F.xxhash64(text)
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Whether two rows are of one document; a null doc_id is an id like any other."""
+    return left["doc_id"].eqNullSafe(right["_doc"]) & (left["tid"] == right["_tid"])
+
+
+def _found(docs: DataFrame, items: DataFrame, containment: float, broadcast_numbers: int) -> DataFrame:
+    """(doc_id, tid, item_id, n_shingles, n_shared, containment) of the texts that hold enough of an item."""
+    index = common.cut_lineage(item_index(items.select("item_id", "text")))
+    drawn = common.cut_lineage(signatures(index))
+    keyed = docs.select("doc_id", text_id().alias("tid"), "text").where("text IS NOT NULL")
+    seen = _hashed(keyed, ["doc_id", "tid"]).select("doc_id", "tid", F.explode_outer("shingles").alias("shingle"))  # outer: else the optimizer hashes once more for a filter
+    hits = seen.join(F.broadcast(drawn) if _numbers(drawn) <= broadcast_numbers else drawn, "shingle").select("doc_id", "tid", "item_id").distinct()
+    lists = common.cut_lineage(hits.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).agg(F.collect_list("item_id").alias("items")))
+    candidates = keyed.join(F.broadcast(lists) if _numbers(lists, "items") <= broadcast_numbers else lists, _same(keyed, lists)).select("doc_id", "tid", "text", "items")
+    found = _hashed(candidates, ["doc_id", "tid", "items"]).select("doc_id", "tid", F.explode("items").alias("item_id"), F.col("shingles").alias("own"))
+    small = _numbers(index, "shingles") <= broadcast_numbers
+    found = found.join(F.broadcast(index), "item_id") if small else common.salted_join(found, index.join(_often(lists), "item_id"), ["item_id"], ["doc_id", "tid"], "often")
+    exact = found.select("doc_id", "tid", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
+    return exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of the pairs where a text of docs holds enough of an item.
 
     containment: the share of the item's distinct shingles that the text has; case and punctuation do not count. An
     item of fewer than five words is one shingle, which only a text of just these words has. Null and wordless texts
-    hold nothing, null and wordless items are in nothing. Of rows with equal ids each pair is given once, with its largest share. Other
-    columns are not read. Empty tables give no rows.
+    hold nothing, null and wordless items are in nothing. Of rows with equal ids, null ones included, each pair is
+    given once, with its largest share. Items with an equal item_id are one item with the shingles of all; items
+    without an id are left out. Other columns are not read. Empty tables give no rows.
     """
-    index = common.cut_lineage(item_index(items.select("item_id", "text")))
-    drawn = common.cut_lineage(signatures(index))
-    n_items, n_drawn = index.count(), drawn.count()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").where("text IS NOT NULL")
-    seen = _hashed(keyed, ["doc_id", "tid"]).select("doc_id", "tid", F.explode_outer("shingles").alias("shingle"))  # outer: else the optimizer hashes once more for a filter
-    hits = seen.join(_checked(drawn, n_drawn, broadcast_rows), "shingle").select("doc_id", "tid", "item_id").distinct()
-    lists = common.cut_lineage(hits.groupBy("doc_id", "tid").agg(F.collect_list("item_id").alias("items")))
-    pairs = lists.agg(F.sum(F.size("items"))).first()[0] or 0
-    found = keyed.join(_checked(lists, pairs, broadcast_rows), ["doc_id", "tid"])
-    found = _hashed(found, ["doc_id", "items"]).select("doc_id", F.explode("items").alias("item_id"), F.col("shingles").alias("own"))
-    found = found.join(F.broadcast(index), "item_id") if n_items <= broadcast_rows // 50 else common.salted_join(found, index.join(_often(lists), "item_id"), ["item_id"], ["doc_id"], "often")
-    exact = found.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
+    exact = _found(docs, items.where("item_id IS NOT NULL"), containment, broadcast_numbers)
     exact = exact.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
-    return exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)
+    return exact.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), with all their columns, whose text holds no item. Rows with one doc_id are judged each by its own text."""
+    found = _found(docs, items.where("item_id IS NOT NULL"), containment, broadcast_numbers).select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_found")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_found"]), "left_anti")
 
 
 #: The same over documents and benchmark, for DuckDB, without the search by hashes.

@@ -36,8 +36,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) with text without repeated passages, and n_lines and n_removed.
 
     A window of `size` consecutive lines that occurs again, in the same text or another, is removed wherever it is
-    not its first occurrence; lines under several windows go once. Occurrences are ordered by doc_id, then by a hash
-    of the text, then by line. Windows of empty lines are left alone, as are texts of fewer lines and null texts
+    not its first occurrence; lines under several windows go once. Occurrences are ordered by doc_id, null first, then
+    by a hash of the text, then by line. Windows of empty lines are left alone, as are texts of fewer lines and null texts
     (n_lines 0). Rows with equal doc_id and text are one occurrence and have one result. An empty table gives no
     rows. Other columns stay as they are; columns named n_lines or n_removed are replaced.
     """
@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     often = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
     later = common.salted_join(windows, often, ["h1", "h2"], ["doc_id", "pos"], "n").where(place != F.col("first"))
     starts = later.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("_starts")).withColumnRenamed("tid", "_tid").withColumnRenamed("doc_id", "_doc")
-    joined = keyed.join(starts, (F.col("doc_id") == F.col("_doc")) & (keyed["_tid"] == starts["_tid"]), "left").drop(starts["_tid"]).drop("_doc")
+    joined = keyed.join(starts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (keyed["_tid"] == starts["_tid"]), "left").drop(starts["_tid"]).drop("_doc")
 
     def result(lines: Column) -> Column:
         def of(left: Column) -> Column:
