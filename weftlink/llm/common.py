@@ -34,19 +34,22 @@ def rank_hash(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], weight: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], weight: str, how: str = "inner", salts: int = SALTS, sizes: DataFrame | None = None) -> DataFrame:
     """left joined to right, unique by keys, where a key may hold a large part of left. weight: right's column with about how many rows of left a key has.
 
     Hot keys, of which there are MOST_HOT at most by their definition, are dealt over several tasks by the columns in
-    spread, and right's rows for them are repeated that often. right is written first, as it is read twice.
+    spread, and right's rows for them are repeated that often. right is written first, as it is read twice; not so if
+    sizes (keys, weight), a written table, is given.
     """
-    right = cut_lineage(right)
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) > max(HOT_ROWS, total // MOST_HOT)
-    marked = right.where(hot).select(*keys).withColumn("_hot", F.lit(True))
+    if sizes is None:
+        right = cut_lineage(right)
+        sizes = right.select(*keys, weight)
+    total = sizes.agg(F.sum(weight)).first()[0] or 0
+    marked = sizes.where(F.col(weight) > max(HOT_ROWS, total // MOST_HOT)).select(*keys).withColumn("_hot", F.lit(True))
     if marked.isEmpty():
         return left.join(right.drop(weight), keys, how)
-    many = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
+    many = right.drop(weight).join(F.broadcast(marked), keys, "left")
+    many = many.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")).otherwise(0)
     return left.join(F.broadcast(marked), keys, "left").withColumn("_salt", salt).drop("_hot").join(many, [*keys, "_salt"], how).drop("_salt")
 
