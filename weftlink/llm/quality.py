@@ -129,10 +129,23 @@ def fit(rows: list[tuple[int, bytes, int]], prior: float = 0.5) -> CompressionMo
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
+    """The model of the labelled rows of docs. One task fits it on the sample, whose size is bounded; the driver gets the dictionaries."""
+    rows, prior = learn_rows(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)))], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (model.good, model.bad, model.slope, model.offset)], names=["good", "bad", "slope", "offset"])
+
+    made = rows.repartition(1).mapInArrow(run, "good binary, bad binary, slope double, offset double").first()
+    if made is None:  # no rows, no task
+        return fit([], prior)
+    return CompressionModel(bytes(made["good"]), bytes(made["bad"]), made["slope"], made["offset"])
+
+
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (doc_id, text, ...) that classify() predicts 1 for, with all their columns; decided row by row, without a shuffle."""
-    rows, prior = learn_rows(docs, labels, sample)
-    model = fit([tuple(r) for r in rows.collect()], prior)
+    model = learn(docs, labels, sample)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     Labels other than 0 and 1 are left out; of a document labelled twice the lower label counts. Repeated rows are
     scored as often as they occur; other columns are not read; an empty table gives no rows.
     """
-    rows, prior = learn_rows(docs, labels, sample)
-    model = fit([tuple(r) for r in rows.collect()], prior)
+    model = learn(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
