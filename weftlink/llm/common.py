@@ -44,10 +44,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     if sizes is None:
         right = cut_lineage(right)
         sizes = right.select(*keys, weight)
-    total = sizes.agg(F.sum(weight)).first()[0] or 0
-    marked = sizes.where(F.col(weight) > max(HOT_ROWS, total // MOST_HOT)).select(*keys).withColumn("_hot", F.lit(True))
-    if marked.isEmpty():
+    total, most = sizes.agg(F.sum(weight), F.max(weight)).first()
+    least = max(HOT_ROWS, (total or 0) // MOST_HOT)
+    if (most or 0) <= least:
         return left.join(right.drop(weight), keys, how)
+    marked = sizes.where(F.col(weight) > least).select(*keys).withColumn("_hot", F.lit(True))
     many = right.drop(weight).join(F.broadcast(marked), keys, "left")
     many = many.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")).otherwise(0)

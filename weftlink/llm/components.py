@@ -26,7 +26,7 @@ def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         around = edges
     least = common.cut_lineage(least)
-    pairs = common.salted_join(around, least, ["u"], ["v"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    pairs = common.salted_join(around, least, ["u"], ["v"], "n", sizes=least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return pairs.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
