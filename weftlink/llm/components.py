@@ -30,6 +30,13 @@ def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     return pairs.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (u, v) is the u of one edge, or the v of any number."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")
+    counts = edges.select(ends).select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.where("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for each node of edges (a, b); component: the least node that can be reached.
 
@@ -37,14 +44,9 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = common.cut_lineage(now)
-    state = None
-    for _ in range(max_rounds):
-        now = common.cut_lineage(_towards_least(_towards_least(now, True), False))
-        # a graph that is a set of stars is no longer changed: count and sums of its edges stay
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state or not seen[0]:
-            break
-        state = tuple(seen)
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+    rounds = 0
+    while not _are_stars(now):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+        now, rounds = common.cut_lineage(_towards_least(_towards_least(now, True), False)), rounds + 1
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
