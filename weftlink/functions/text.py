@@ -83,8 +83,9 @@ def ranked_keywords(pages: DataFrame, key: str, text: Column, top: int = 100) ->
     """(key, term, weight, rank) of the `top` keywords of each row of pages, which is unique by key.
 
     A word weighs 1 for each occurrence, a pair of neighbouring words 0.65. Equal weights: words before pairs, then by first occurrence.
+    Rows are dealt by key before their terms are made: counting and ranking then need no shuffle of terms.
     """
-    terms = pages.select(key, F.explode_outer(keyword_terms(keyword_words(text))).alias("t")).where("t IS NOT NULL").select(key, "t.*")
+    terms = pages.select(key, text.alias("_text")).repartition(key).select(key, F.explode_outer(keyword_terms(keyword_words(F.col("_text")))).alias("t")).where("t IS NOT NULL").select(key, "t.*")
     counted = terms.groupBy(key, "term").agg(F.count("*").alias("n"), F.min(F.struct("pair", "pos")).alias("first"))
     weight = F.when(F.col("first.pair") == 0, F.col("n").cast("double")).otherwise(repeated_sum(F.col("n"), PAIR_WEIGHT))
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "first")

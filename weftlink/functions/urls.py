@@ -30,6 +30,17 @@ def path(url: Column) -> Column:
     return F.when(found == "", F.lit("/")).otherwise(found)
 
 
+def shown_path(url: Column) -> Column:
+    """The path of an address; what is none as it is."""
+    return F.when(is_url(url), path(url)).otherwise(F.coalesce(url, F.lit("")))
+
+
+def shortened(text: Column, most: int = 55) -> Column:
+    """The first `most` characters with an ellipsis, where there are more."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit("…"))).otherwise(whole)
+
+
 def normalize(url: Column, every_slash: bool = False) -> Column:
     """Host without www. and path, in small letters, without one closing slash; what is no address in small letters.
 

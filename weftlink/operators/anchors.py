@@ -126,14 +126,17 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> Dat
     runs = _runs(F.col("phrase"))
     heads = phrases.select("site_key", "phrase").distinct().select("site_key", "phrase", F.get(runs, F.lit(0)).alias("r1"), F.get(runs, F.lit(1)).alias("r2"))
     listed = texts.select("site_key", *keep, _runs(F.col("text")).alias("runs"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("runs") - 1), lambda i: F.struct(F.get("runs", i - 1).alias("r1"), F.get("runs", i).alias("r2"))))
+    # strings and not structs: those are made distinct by a hash, these by comparing all pairs
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("runs") - 1), lambda i: F.concat(F.get("runs", i - 1), F.lit(" "), F.get("runs", i))))
     # the texts stay behind while runs meet phrases, and join again by their keys
-    twos = listed.where(F.size("runs") > 1).select("site_key", *keep, F.explode_outer(pairs).alias("r")).select("site_key", *keep, "r.*")
-    met = twos.join(heads.where("r2 IS NOT NULL"), ["site_key", "r1", "r2"])
+    twos = listed.where(F.size("runs") > 1).select("site_key", *keep, F.explode_outer(pairs).alias("r"))
+    met = twos.join(heads.where("r2 IS NOT NULL").withColumn("r", F.concat("r1", F.lit(" "), "r2")), ["site_key", "r"])
     ones = listed.select("site_key", *keep, F.explode_outer(F.array_distinct("runs")).alias("r1"))
     # phrases of one run, or of none, are few: marks only, or one word and a mark
     met_one = ones.join(heads.where("r1 IS NOT NULL AND r2 IS NULL"), ["site_key", "r1"])
-    met_none = texts.select("site_key", *keep, "text").join(heads.where("r1 IS NULL"), "site_key").where(F.col("text").contains(F.col("phrase")))
+    others = heads.where("r1 IS NULL").withColumn("head", F.substring(F.lower("phrase"), 1, 2))
+    marks = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=([^{_SIDE}]{{2}}))"), F.lit(1)))
+    met_none = texts.select("site_key", *keep, F.explode_outer(marks).alias("head")).join(others, ["site_key", "head"])
     columns = ["site_key", *keep, "phrase"]
     met = met.select(columns).unionByName(met_one.select(columns)).unionByName(met_none.select(columns))
     met = met.join(texts.select("site_key", *keep, "text"), ["site_key", *keep])

@@ -128,6 +128,32 @@ def export_rows(opportunities: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(n) for c, n in zip(cells, EXPORT_COLUMNS)])
 
 
+def failures(fetch_log: DataFrame) -> DataFrame:
+    """(view, url, status, message) of the addresses that gave no record: failed fetches, and pages without text of their own."""
+    view = F.when(F.col("status").startswith("failed:"), "failed").when((F.col("status") == "no-body-content") | F.col("status").startswith("no-body-content:"), "no-body")
+    return fetch_log.where(~F.col("success")).select(view.alias("view"), "url", "status", "message").where("view IS NOT NULL")
+
+
+def skips(skipped: DataFrame, fetch_log: DataFrame) -> DataFrame:
+    """(url, reason, details) of all that was left out, fetches of other kinds of content included."""
+    other = fetch_log.where(F.col("status").startswith("skipped:")).select("url", F.col("status").alias("reason"), F.col("message").alias("details"))
+    return skipped.select("url", "reason", "details").unionByName(other)
+
+
+def json_rows(**sections: DataFrame) -> DataFrame:
+    """(section, json): each row of each section as one JSON object; columns that are null are left out."""
+    parts = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("json")) for name, df in sections.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """json_rows() as lines of JSON, a folder for each section."""
+    rows.write.partitionBy("section").text(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """rows as CSV with a header; every cell in quotes, quotes doubled."""
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)

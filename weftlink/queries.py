@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlink import page_queries, rule_queries  # noqa: F401  page_queries adds its own to rule_queries
 from weftlink.functions import text as words
 from weftlink.functions import urls
-from weftlink.functions.lexicon import BOILERPLATE_HEADINGS, BOILERPLATE_TEXTS, BYLINE, GENERIC_WORDS, LINK_TYPES, NO_PAGE_ENDINGS, PAGE_TYPES, SCRIPT_TRACES, STOPWORDS
-from weftlink.lineage import cut_lineage
+from weftlink.functions.lexicon import GENERIC_WORDS, LINK_TYPES, NO_PAGE_ENDINGS, PAGE_TYPES, STOPWORDS
 from weftlink.operators import anchors, corpus, graph, report, scoring, semantic
 from weftlink.plans import site, target
 from weftlink.settings import CORE, TARGET_PAGE
@@ -127,15 +127,6 @@ def sitemap_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("domain").agg(F.count("*").alias("n_urls"))
 
 
-_VISIBLE = r"len(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '\s+'), lambda x: length(x) > 1))"
-_TRACES = _any(t.replace(r"(?!\w)", r"(?:\W|$)") for t in SCRIPT_TRACES)
-
-
-@_query(f"SELECT page_id, CAST({_VISIBLE} AS INTEGER) AS visible_words, {_VISIBLE} < 150 AND regexp_matches(html, '{_TRACES}') AS is_script_page FROM pages")
-def js_render_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", site.visible_words(F.col("html")).alias("visible_words"), site.is_script_page(F.col("html")).alias("is_script_page"))
-
-
 # Words of documents
 def _kept(pattern: str, least: int, numbers: bool, of: str = "text") -> str:
     more = "" if numbers else " AND NOT regexp_matches(w, '^[0-9]+$')"
@@ -165,13 +156,10 @@ def doc_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.ranked_keywords(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-_FIRST_LINE = r"split_part(text, chr(10), 1)"
-
-
-@_query(rf"SELECT doc_id, array_to_string(list_slice({_kept(r'[^a-z0-9\s]', 5, True, _FIRST_LINE)}, 1, 40), ' ') AS topics FROM documents")
+@_query(rf"SELECT doc_id, array_to_string(list_slice({_kept(r'[^a-z0-9\s]', 5, True, "'Title ' || source || ' ' || replace(text, chr(10), ' ') || ' described'")}, 1, 40), ' ') AS topics FROM documents")
 def doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, empty = F.substring_index("text", "\n", 1), F.lit("")
-    topics = words.topics(line, empty, F.array().cast("array<string>"), empty)
+    """The documents' lines as headings."""
+    topics = words.topics(F.lit("Title"), F.col("source"), F.split("text", "\n"), F.lit("described"))
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(topics, " ").alias("topics"))
 
 
@@ -180,44 +168,6 @@ def para_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(words.paragraph_keywords(F.col("text")), " ").alias("keywords"))
 
 
-_ITEM_WORDS = rf"SELECT item_id, list_slice({_kept(r'[^a-z0-9\s]', 4, False)}, 1, 60) AS w FROM benchmark"
-
-
-@_query(
-    rf"""
-WITH i AS ({_ITEM_WORDS}),
-e AS (SELECT item_id, unnest(w) AS word FROM i),
-pairs AS (SELECT a.item_id AS a, b.item_id AS b, count(DISTINCT a.word) AS n_shared FROM e a JOIN e b ON a.word = b.word AND a.item_id <> b.item_id GROUP BY 1, 2)
-SELECT a AS source_id, b AS target_id, n_shared FROM pairs WHERE n_shared >= 2
-"""
-)
-def keyword_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items that share two keywords: the pairs meet by keyword, not each with each."""
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(words.paragraph_keywords(F.col("text"))).alias("w"))
-    each = items.select("item_id", F.explode("w").alias("word"))
-    pairs = each.withColumnRenamed("item_id", "source_id").join(each.withColumnRenamed("item_id", "target_id"), "word").where("source_id <> target_id")
-    return pairs.groupBy("source_id", "target_id").agg(F.count("*").alias("n_shared")).where("n_shared >= 2")
-
-
-@_query(
-    rf"""
-WITH i AS ({_ITEM_WORDS}), d AS (SELECT doc_id, list_slice({_kept(r'[^a-z0-9\s]', 4, False)}, 1, 60) AS w FROM documents),
-hits AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) a JOIN (SELECT DISTINCT item_id, unnest(w) AS word FROM i) b USING (word) GROUP BY ALL)
-SELECT doc_id, item_id, hits.n / sqrt(CAST(len(d.w) AS DOUBLE) * len(i.w)) AS similarity FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)
-WHERE hits.n / sqrt(CAST(len(d.w) AS DOUBLE) * len(i.w)) >= 0.12
-"""
-)
-def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents near a benchmark item by their first 60 keywords, repeats included."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", words.paragraph_keywords(F.col("text")).alias("w"))
-    items = _table(spark, sf_dir, "benchmark").select("item_id", words.paragraph_keywords(F.col("text")).alias("w"))
-    ours = docs.select("doc_id", F.size("w").alias("n_ours"), F.explode("w").alias("word"))
-    theirs = items.select("item_id", F.size("w").alias("n_theirs"), F.explode(F.array_distinct("w")).alias("word"))
-    hits = ours.join(theirs, "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("n_ours").alias("a"), F.first("n_theirs").alias("b"))
-    similarity = F.col("n") / F.sqrt(F.col("a").cast("double") * F.col("b"))
-    return hits.select("doc_id", "item_id", similarity.alias("similarity")).where("similarity >= 0.12")
-
-
 # Repeated lines: a source's documents stand for a site's pages
 _LINES = "SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents"
 
@@ -228,67 +178,49 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.paragraph_counts(docs, "source", "lines").where("n >= 2")
 
 
-@_query(f"SELECT source, doc_id, count(*) AS n_lines FROM ({_LINES}) WHERE length(line) >= 3 AND regexp_matches(line, '(?i){_any(BOILERPLATE_HEADINGS)}') GROUP BY 1, 2")
-def boilerplate_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    found = lines.where((F.length("line") >= 3) & F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in BOILERPLATE_HEADINGS)))
-    return found.groupBy("source", "doc_id").agg(F.count("*").alias("n_lines"))
-
-
-_TEXT_TEST = f"regexp_matches(line, '(?i){_any(BOILERPLATE_TEXTS)}') OR regexp_matches(line, '{BYLINE.replace(chr(39), chr(39) * 2)}')"
-
-
-@_query(f"SELECT source, doc_id, count(*) AS n_lines FROM ({_LINES}) WHERE {_TEXT_TEST} GROUP BY 1, 2")
-def boilerplate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    found = lines.where(F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in BOILERPLATE_TEXTS)) | F.col("line").rlike(BYLINE))
-    return found.groupBy("source", "doc_id").agg(F.count("*").alias("n_lines"))
-
-
 # Phrases
 _SIDE = "a-zA-Z0-9À-ɏ"
-_PHRASES = r"SELECT item_id, regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1) AS phrase FROM benchmark"
+_TOKENS = r"list_filter(string_split_regex(regexp_replace(regexp_replace(x, '[|\-–—].*$', ''), '[^a-zA-Z0-9_\s''-]', ' ', 'g'), '\s+'), lambda t: length(t) > 1)"
+_GRAMS = rf"""
+t AS (SELECT item_id, {_TOKENS} AS w FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS x FROM benchmark)),
+g AS (SELECT DISTINCT item_id, array_to_string(w[s : s + k - 1], ' ') AS phrase, k FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM (SELECT item_id, w, unnest(range(1, least(7, len(w)) + 1)) AS k FROM t)))"""
 _FOUND = rf"""
-SELECT doc_id, item_id, phrase, regexp_extract(text, '(?i)(?:^|[^{_SIDE}])(' || phrase || ')(?:$|[^{_SIDE}])', 1) AS anchor, text
-FROM (SELECT DISTINCT item_id, phrase FROM ({_PHRASES}) WHERE phrase <> '') p JOIN documents d ON contains(lower(d.text), lower(p.phrase))
+WITH {_GRAMS}, p AS MATERIALIZED (SELECT item_id, phrase, lower(phrase) AS lp FROM g WHERE k = 4), d AS MATERIALIZED (SELECT doc_id, text, lower(text) AS lt FROM documents),
+near AS MATERIALIZED (SELECT doc_id, item_id, phrase, text FROM p JOIN d ON contains(lt, lp))
+SELECT doc_id, item_id, phrase, regexp_extract(text, '(?i)(?:^|[^{_SIDE}])(' || phrase || ')(?:$|[^{_SIDE}])', 1) AS anchor, text FROM near
 """
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "\n").alias("lines"))
+
+
 def _phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.lit("").alias("site_key"), F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1).alias("phrase")).where("phrase <> ''")
+    """All runs of four words of each item's lines, in all documents."""
+    items = _lines(spark, sf_dir).select("item_id", F.lit("").alias("site_key"), F.explode(anchors.phrases_of(F.col("lines"), 4, 4)).alias("phrase"))
     texts = _table(spark, sf_dir, "documents").select(F.lit("").alias("site_key"), "doc_id", "text")
     return anchors.phrase_matches(texts, items, ["doc_id"]).join(items, ["site_key", "phrase"])
 
 
-@_query(f"SELECT doc_id, item_id, anchor FROM ({_FOUND}) WHERE anchor <> ''")
+@_query(f"SELECT doc_id, item_id, phrase, anchor FROM ({_FOUND}) WHERE anchor <> ''")
 def bounded_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phrase_hits(spark, sf_dir).select("doc_id", "item_id", "anchor")
+    return _phrase_hits(spark, sf_dir).select("doc_id", "item_id", "phrase", "anchor")
 
 
 @_query(
     f"""
-SELECT doc_id, item_id, CAST(least(10, 2 + greatest(0, 3 - v) + CASE WHEN o / length(text) < 0.33 THEN 2 WHEN o / length(text) < 0.66 THEN 1 ELSE 0 END
-  + CASE WHEN regexp_matches(string_split(anchor, ' ')[2], '^[A-Z]') THEN 1 ELSE 0 END) AS INTEGER) AS anchor_score
+SELECT doc_id, item_id, phrase, CAST(least(10, 4 + greatest(0, 3 - v) + CASE WHEN o / length(text) < 0.33 THEN 2 WHEN o / length(text) < 0.66 THEN 1 ELSE 0 END
+  + CASE WHEN len(list_filter(string_split(anchor, ' ')[2:], lambda w: regexp_matches(w, '^[A-Z]'))) > 0 THEN 1 ELSE 0 END) AS INTEGER) AS anchor_score
 FROM (SELECT *, instr(lower(text), lower(anchor)) - 1 AS o, len(list_filter(string_split(lower(anchor), ' '), lambda w: w IN ({_list(GENERIC_WORDS)}))) AS v FROM ({_FOUND}) WHERE anchor <> '')
 """
 )
 def anchor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phrase_hits(spark, sf_dir).select("doc_id", "item_id", "anchor_score")
-
+    return _phrase_hits(spark, sf_dir).select("doc_id", "item_id", "phrase", "anchor_score")
 
-_TOKENS = r"list_filter(string_split_regex(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[|\-–—].*$', ''), '[^a-zA-Z0-9_\s''-]', ' ', 'g'), '\s+'), lambda t: length(t) > 1)"
 
-
-@_query(
-    rf"""
-WITH t AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
-g AS (SELECT item_id, array_to_string(w[s : s + k - 1], ' ') AS phrase, k FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM (SELECT item_id, w, unnest(range(1, least(7, len(w)) + 1)) AS k FROM t)))
-SELECT DISTINCT item_id, phrase, CAST(k AS INTEGER) AS words, k < 2 AS is_generic FROM g WHERE length(phrase) >= 3
-"""
-)
+@_query(f"WITH {_GRAMS} SELECT DISTINCT item_id, phrase, CAST(len(string_split(phrase, ' ')) AS INTEGER) AS words, k < 2 AS is_generic FROM g WHERE length(phrase) >= 3")
 def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark").select("item_id", anchors.phrases_of(F.array(F.substring_index("text", "\n", 1))).alias("p"))
-    rows = items.select("item_id", F.explode("p").alias("phrase"))
+    rows = _lines(spark, sf_dir).select("item_id", F.explode(anchors.phrases_of(F.col("lines"))).alias("phrase"))
     return rows.select("item_id", "phrase", F.size(F.split("phrase", " ")).alias("words"), anchors.is_generic_anchor(F.col("phrase")).alias("is_generic"))
 
 
@@ -317,39 +249,6 @@ def link_edges_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(_raw_pages(spark, sf_dir), "raw_links").distinct()
 
 
-_DOC_LINKS = "SELECT DISTINCT source AS site_key, 's' || doc_id % 50 AS src, 's' || n_chars % 60 AS dst FROM documents"
-
-
-def _doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty pages for each source, that link to one another as the documents' lengths say."""
-    docs = _table(spark, sf_dir, "documents")
-    page = F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string")).alias("normalized_url")
-    return docs.groupBy(F.col("source").alias("site_key"), page).agg(F.collect_set(F.concat(F.lit("s"), (F.col("n_chars") % 60).cast("string"))).alias("existing_links"))
-
-
-@_query(
-    f"""
-WITH e AS ({_DOC_LINKS}), p AS (SELECT DISTINCT site_key, src AS normalized_url FROM e),
-k AS (SELECT e.site_key, e.dst, count(*) AS n FROM e JOIN p ON e.site_key = p.site_key AND e.dst = p.normalized_url GROUP BY 1, 2)
-SELECT p.site_key, p.normalized_url, CAST(coalesce(k.n, 0) AS INTEGER) AS inbound_count, coalesce(k.n, 0) = 0 AS is_orphan FROM p LEFT JOIN k ON p.site_key = k.site_key AND p.normalized_url = k.dst
-"""
-)
-def inbound_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.with_inbound(_doc_pages(spark, sf_dir)).select("site_key", "normalized_url", "inbound_count", "is_orphan")
-
-
-@_query(
-    f"""
-WITH e AS ({_DOC_LINKS}), p AS (SELECT DISTINCT site_key, src AS normalized_url FROM e),
-k AS (SELECT e.* FROM e JOIN p ON e.site_key = p.site_key AND e.dst = p.normalized_url)
-SELECT p.site_key, p.normalized_url, (SELECT count(*) FROM k WHERE k.site_key = p.site_key AND k.dst = p.normalized_url) AS inbound,
-  (SELECT count(*) FROM k WHERE k.site_key = p.site_key AND k.src = p.normalized_url) AS outbound FROM p
-"""
-)
-def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_doc_pages(spark, sf_dir))
-
-
 # Points, with documents as paragraphs
 _WORDS = r"len(string_split_regex(text, '\s+'))"
 
@@ -374,100 +273,17 @@ def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", semantic.composite(i % 13, (i % 29) / F.lit(100.0), i % 11, i % 4).alias("composite_score"))
 
 
-@_query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 20")
-def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 of each source: the shape of a ranked report."""
-    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return _table(spark, sf_dir, "documents").withColumn("r", F.row_number().over(order)).where("r <= 20").select("source", "doc_id", "n_chars")
-
-
 @_query(f"SELECT split_part(role, ' ', 1) AS link_type, count(*) AS n FROM conversations GROUP BY 1")
 def counts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.counts_by(_table(spark, sf_dir, "conversations").withColumnRenamed("role", "link_type"), "link_type")
 
 
 # Whole pages
-@_query(r"SELECT page_id, regexp_replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&', 'g') AS title, regexp_replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&amp;', '&', 'g') AS h1 FROM pages")
-def extract_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_extract(_table(spark, sf_dir, "pages")).select("page_id", "extract.title", "extract.h1")
-
-
-@_query()
-def extract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    both = F.posexplode(F.arrays_zip(F.col("extract.paragraphs").alias("text"), F.col("extract.paragraph_positions").alias("position"))).alias("para_idx", "p")
-    return rows.select("page_id", both).select("page_id", "para_idx", "p.text", "p.position")
-
-
-@_query()
-def extract_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return rows.select("page_id", F.posexplode("extract.headings").alias("at", "h")).select("page_id", "at", "h.level", "h.text")
-
-
-@_query()
-def zone_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_extract(_table(spark, sf_dir, "pages")).select("page_id", "extract.extraction_method", "extract.confidence")
-
-
-@_query()
-def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.complete(site.crawl(_table(spark, sf_dir, "pages")).pages)
-
-
-@_query()
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.crawl(_table(spark, sf_dir, "pages")).fetch_log
-
-
-@_query()
-def skipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.crawl(_table(spark, sf_dir, "pages")).skipped
-
-
 @_query()
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.analyze_sites(_table(spark, sf_dir, "pages"), CORE).opportunities
 
 
-def _summary_of(made: site.Analysis) -> DataFrame:
-    return report.summary(made.crawl.fetch_log, made.pages, made.crawl.skipped, made.opportunities)
-
-
-@_query()
-def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary_of(site.analyze_sites(_table(spark, sf_dir, "pages"), CORE))
-
-
-@_query()
-def opportunity_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.facets(site.analyze_sites(_table(spark, sf_dir, "pages"), CORE).opportunities)
-
-
-@_query()
-def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = site.analyze_sites(_table(spark, sf_dir, "pages"), CORE)
-    return report.page_flags(made.pages, made.opportunities)
-
-
-@_query()
-def pages_without_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = site.analyze_sites(_table(spark, sf_dir, "pages"), CORE)
-    return site.without_opportunity(made.pages, made.opportunities, CORE)
-
-
-@_query()
-def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = site.analyze_sites(_table(spark, sf_dir, "pages"), CORE)
-    return report.export_rows(made.opportunities, made.pages)
-
-
-@_query()
-def natural_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = cut_lineage(site.complete(site.crawl(_table(spark, sf_dir, "pages")).pages))
-    return anchors.natural_anchors(anchors.paragraphs(pages), pages)
-
-
 def _target(spark: SparkSession, sf_dir: str) -> target.TargetAnalysis:
     """The first page of the largest site as the target."""
     pages = _table(spark, sf_dir, "pages")
@@ -491,8 +307,8 @@ def target_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | rule_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | rule_queries.ORACLES
