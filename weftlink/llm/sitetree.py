@@ -293,7 +293,8 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance
     whole page bounds a text: nothing is cut off.
     """
     rows = branch_rows(pages)
-    told = common.cut_lineage(decisions(importance(rows), least_pages, least_importance).select("host", "path", "stays"))
+    weighed = common.cut_lineage(importance(rows))  # read several times, and the pages are parsed for it
+    told = common.cut_lineage(decisions(weighed, least_pages, least_importance).select("host", "path", "stays"))
     size = told.agg(F.sum(F.length("path") + F.length("host") + 16)).first()[0] or 0
     wide = pages.select("page_id", "url", "html", host_of().alias("host"))
     if size <= broadcast_bytes:  # checked: the decisions of all hosts fit into every worker
@@ -304,8 +305,8 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance
         joined = wide.select("page_id", "url", "html", "host", F.lit(None).cast("array<string>").alias("drop"), F.lit(None).cast("array<string>").alias("keep"))
     else:
         shared = None
-        weighed = told.join(rows.groupBy("host", "path").agg(F.count("*").alias("often")), ["host", "path"])
-        found = common.salted_join(rows.select("host", "page", "path"), weighed, ["host", "path"], ["page"], "often")
+        often = told.join(weighed.select("host", "path", F.col("pages").alias("often")), ["host", "path"])
+        found = common.salted_join(rows.select("host", "page", "path"), often, ["host", "path"], ["page"], "often")
         own = found.groupBy("host", "page").agg(F.collect_set(F.when(~F.col("stays"), F.col("path"))).alias("drop"), F.collect_set(F.when(F.col("stays"), F.col("path"))).alias("keep"))
         joined = wide.withColumn("page", _page()).join(own, ["host", "page"], "left").select("page_id", "url", "html", "host", "drop", "keep")
 
