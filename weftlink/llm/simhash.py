@@ -23,7 +23,7 @@ from weftlink.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Values a task makes at once for a leading part, at the least number of leading bits that allows it.
-VALUES_A_PART = 2_000_000
+VALUES_A_PART = 500_000
 MAX_PART_BITS = 24
 #: Tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
