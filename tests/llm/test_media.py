@@ -1,6 +1,10 @@
 import hashlib
+import os
+import re
 import zlib
+from html import unescape
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftlink.llm import common, media
@@ -46,3 +50,28 @@ def test_references_are_resolved_by_digest(spark):
     stored = spark.createDataFrame([("aa", 1, 20), ("bb", 2, 5000)], "digest string, size int, named int")
     rows = media.resolve(refs, stored).orderBy("doc_id", "position").collect()
     assert [(r.position, r.digest, r["size"]) for r in rows] == [x for i in range(30) for x in ((0, "aa" if i % 3 else "bb", 1 if i % 3 else 2), (2, "zz", None))]
+
+
+def test_whole_pages_are_interleaved(spark):
+    """The driver's pages with figures put between their paragraphs: parts as a plain reading of the markup gives them."""
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the driver's tables")
+    figure = '</p><figure><img src="digest:aa" alt="b"><figcaption>C &amp; d</figcaption></figure><p>'
+    table = spark.read.parquet(path).select("page_id", F.replace("html", F.lit("</p><p>"), F.lit(figure)).alias("html"))
+    expected = {}
+    for page_id, html in table.collect():
+        body = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", html)
+        body = re.sub(r"(?s)<figure>.*?</figure>", "\0M\0", body)
+        body = re.sub(r"</?(b|a|i)\b[^>]*>", "", body)
+        pieces = [" ".join(unescape(x).split()) for x in re.split(r"<[^>]*>|\0(?=M)|(?<=M)\0", body)]
+        expected[page_id] = [("media", None, "aa", "C & d") if x == "M" else ("text", x, None, None) for x in pieces if x]
+    rows = media.interleave(table, "page_id").collect()
+    got = {r.page_id: [(p.kind, p.text, p.digest, p.caption) for p in r.parts] for r in rows}
+    assert got == expected and sum(p[0] == "media" for x in got.values() for p in x) > 50
+    assert all([p.position for p in r.parts] == list(range(len(r.parts))) for r in rows)
+
+
+def test_long_hostile_pages():
+    for odd in ("<a " * 80_000, "<a b='" * 40_000, "<" * 200_000, "<!-- " * 50_000, "<p>" * 60_000, "<script>" * 30_000):
+        assert len(media.parse(odd)) <= 1

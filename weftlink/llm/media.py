@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.llm import common
+from weftlink.sources.markup import Markup
 
 ALIGN = 64
 _SCHEME = "digest:"
-_TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+_SILENT = frozenset(("script", "style", "template", "noscript"))
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 PART = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("caption", T.StringType())])
@@ -77,11 +78,13 @@ def parse(page: str | None) -> list[dict]:
         if text:
             parts.append({"position": len(parts), "kind": "text", "text": text, "digest": None, "caption": None})
 
-    for m in _TOKENS.finditer(page):
-        (held if caption is None else caption).append(entities.unescape(page[last : m.start()]))
-        last = m.end()
-        name, closing = (m[3] or "").lower(), bool(m[2])
-        if not name or name in _INLINE:
+    markup = Markup(page)
+    while (found := markup.next(last)) is not None:
+        (held if caption is None else caption).append(entities.unescape(page[last : found.start]))
+        last, name, closing = found.end, found.name, found.closing
+        if name in _SILENT and not closing:
+            last = markup.raw_end(name, last)[1]
+        if name is None or name in _SILENT or name in _INLINE:
             continue
         if name == "figcaption":
             if closing and caption is not None:
@@ -97,7 +100,7 @@ def parse(page: str | None) -> list[dict]:
         if name == "figure":
             figure, caption = (None, None) if closing else ([], None)
         elif name in ("img", "video", "audio", "source") and not closing:
-            given = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[4])}
+            given = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(found.raw)}
             if given.get("src"):
                 if figure is not None:
                     figure.append(len(parts))
