@@ -397,14 +397,16 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, wide: int = WIDE, block: in
 
     A byte is removed if a string of `width` bytes covers it that starts anywhere else too, in the same text or
     another, judged on the input. A null text counts as empty; texts under `width` bytes stay whole. Repeated rows are
-    texts of their own, so each has its bytes removed. Other columns are not read. An empty table gives no rows.
+    texts of their own, so each has its bytes removed; so are rows without a doc_id. Other columns are not read. An empty table gives no rows.
     text: what remains, without the bytes of a character that was cut in two; kept: the remaining bytes as they are,
     only with with_bytes.
     """
-    docs = docs.select("doc_id", text_key().alias("tid"), "text")
-    spans = common.cut_lineage(repeated_spans(docs, width, wide, block, broadcast_numbers))
+    # a row without a doc_id is a document of its own among those that have none
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("no id"), text_key())).otherwise(text_key())
+    docs = docs.select(F.col("doc_id").alias("given"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), own.alias("tid"), "text")
+    spans = common.cut_lineage(repeated_spans(docs.select("doc_id", "tid", "text"), width, wide, block, broadcast_numbers))
     few = _numbers(spans, "spans", 1) <= broadcast_numbers
-    joined = docs.join(F.broadcast(spans) if few else spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(F.broadcast(spans) if few else spans, ["doc_id", "tid"], "left").select(F.col("given").alias("doc_id"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
