@@ -61,7 +61,7 @@ def cut_off(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["extract_headings", "extract_titles"])
+@pytest.mark.parametrize("name", ["extract_headings", "extract_titles", "page_records"])
 def test_references_cut_off_are_as_sql_has_them(spark, cut_off, name):
     at, con = cut_off
     found = KNOWN[name](spark, at)
