@@ -52,3 +52,15 @@ def test_empty_table_and_repeated_rows(spark, docs):
     assert nearcopies.near_copies(docs([])).collect() == []
     rows = nearcopies.near_copies(docs(["a b", "x y"]).union(docs(["a b"]))).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (0, 0), (1, 1)]
+
+
+def test_many_ids_are_not_broadcast(spark, docs, prose, monkeypatch):
+    texts = [*near_texts(prose), "", None, "One", "one."]
+    rows = docs(texts).union(docs(texts[:3])).union(spark.createDataFrame([(None, texts[0], "en", "src0", 1)], docs([]).schema))
+    expected = sorted(map(tuple, nearcopies.near_copies(rows).collect()), key=str)
+    sent = []
+    monkeypatch.setattr(nearcopies, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(nearcopies.F, "broadcast", lambda df: (sent.append((df.columns, df.count())), df)[1])
+    assert sorted(map(tuple, nearcopies.near_copies(rows).collect()), key=str) == expected
+    assert any("_bits" in columns for columns, _ in sent)  # a row for each 32,768 bits, whatever the ids
+    assert all(n <= 5 for columns, n in sent if "node" in columns or "id" in columns or "_bits" in columns)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import common, simhash
@@ -29,8 +29,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Nodes of a bucket, or of a part of a large one, that are all compared.
 GROUP = 8
-#: Tables of up to so many ids are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of up to so many ids are broadcast, which holds about 200 bytes a row in the driver. Of larger ones a bit for each id is, and what passes is joined by a shuffle.
+BROADCAST_ROWS = 50_000
+#: Bits for an id, in blocks of BLOCK_BITS; so many blocks at most, 16 MB. Beyond that more rows pass than are wanted, and the join decides.
+BITS_AN_ID, BLOCK_BITS, MOST_BLOCKS = 32, 1 << 15, 1 << 12
 _WORD = re.compile(r"[^\W_]+")
 #: Shingles that are hashed at once.
 _STEP = 1 << 9
@@ -99,20 +101,40 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid long, node long, fp long, keys array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes wanted (node, id, tid), one document of each; a node comes twice where its document does."""
+def _passing(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows of docs (doc_id, tid, ...) that may be among the n of wanted (id, tid): all that are, and few others."""
+    blocks = min(MOST_BLOCKS, 1 << (n * BITS_AN_ID // BLOCK_BITS).bit_length())
+
+    def place(doc_id: str) -> tuple[Column, Column]:
+        h = F.xxhash64(doc_id, "tid")
+        return F.pmod(h, F.lit(blocks)).alias("_block"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BLOCK_BITS - 1))
+
+    block, at = place("id")
+    bits = common.cut_lineage(wanted.select(block, at.alias("at")).groupBy("_block").agg(F.bitmap_construct_agg("at").alias("_bits")))
+    block, at = place("doc_id")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_at", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumns({"_block": block, "_at": at}).join(F.broadcast(bits), "_block")
+    return marked.where(F.getbit(byte, F.col("_at").bitwiseAND(F.lit(7)).cast("int")) == 1).select(docs.columns)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, more: str | None = None) -> DataFrame:
+    """(node, shingles) of the nodes wanted (node, id, tid), one document of each, with the long column `more` if one is named; a node comes twice where its document does."""
+    keep = ["node", *([more] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.groups(batch):
-                sets = [shingles(t or "").view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            for part in common.groups(batch, len(keep)):
+                sets = [shingles(t or "").view(np.int64) for t in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*keep, "shingles"])
 
-    wanted = common.cut_lineage(wanted)
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    same = docs["doc_id"].eqNullSafe(small["id"]) & (docs["tid"] == small["tid"])
-    texts = docs.select("doc_id", "tid", "text").join(small, same).select("node", "text")
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    wanted = common.cut_lineage(wanted.select(*keep, "id", F.col("tid").alias("_tid")))
+    n, rows = wanted.count(), docs.select("doc_id", "tid", "text")
+    if n <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    else:
+        rows = _passing(rows, wanted.select("id", F.col("_tid").alias("tid")), n)
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tid") == F.col("_tid"))).select(*keep, "text")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", shingles array<long>")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -121,8 +143,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     at = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.tid").alias("tid"))
     centres = common.cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("often")))
     left = _sets(docs, at.join(centres, at["node"] == centres["a"], "left_semi")).dropDuplicates(["node"]).select(F.col("node").alias("a"), F.col("shingles").alias("own"))
-    right = _sets(docs, at.join(pairs, at["node"] == pairs["b"], "left_semi")).select(F.col("node").alias("b"), F.col("shingles").alias("other"))
-    met = common.salted_join(pairs, left, ["a"], ["b"], "often", sizes=centres).join(right, "b")
+    # of a pair one set travels, that of b; a's goes to where its pairs are
+    right = _sets(docs, at.join(pairs, at["node"] == pairs["b"]), "a").select("a", F.col("node").alias("b"), F.col("shingles").alias("other"))
+    met = common.salted_join(right, left, ["a"], ["b"], "often", sizes=centres)
     shared = F.size(F.array_intersect("own", "other"))
     whole = F.size("own") + F.size("other")
     return common.cut_lineage(met.where(common.let(shared, lambda s: s / (whole - s)) >= similarity).select("a", "b").distinct())
