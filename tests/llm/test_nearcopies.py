@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from weftlink.llm import nearcopies
 
@@ -64,3 +66,42 @@ def test_many_ids_are_not_broadcast(spark, docs, prose, monkeypatch):
     assert sorted(map(tuple, nearcopies.near_copies(rows).collect()), key=str) == expected
     assert any("_bits" in columns for columns, _ in sent)  # a row for each 32,768 bits, whatever the ids
     assert all(n <= 5 for columns, n in sent if "node" in columns or "id" in columns or "_bits" in columns)
+
+
+def crowd(prose):
+    """Texts that share buckets with hundreds of others, dissimilar, and are similar to one of them."""
+    rng = random.Random(9)
+    base, texts = prose(77, 200), []
+    for _ in range(160):
+        texts.append(edited(base, rng, 4))
+        texts.append(edited(texts[-1], rng, 4))
+    return texts
+
+
+def test_no_pair_of_a_large_bucket_is_left_out(spark, docs, prose):
+    texts = crowd(prose)
+    expected = plain_components(texts)
+    assert 50 < sum(i != x for i, x in enumerate(expected)) < 310
+    rows = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == expected
+
+
+def test_blocks_and_bounds_that_are_too_high(spark, docs, prose, monkeypatch):
+    texts = crowd(prose)[:120]
+    expected = plain_components(texts)
+    monkeypatch.setattr(nearcopies, "BLOCK", 16)
+    monkeypatch.setattr(nearcopies, "short", lambda some: np.sort((some >> np.uint64(58)).astype(np.uint32)).tobytes())  # six bits tell little
+    rows = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == expected
+
+
+def test_the_bound_is_never_below_the_similarity():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 3000, np.uint64)
+    sets = [np.unique(rng.choice(base, 150 + 10 * i)) for i in range(20)]
+    sets = [np.unique(np.concatenate([s, s[:40] ^ np.uint64(1)])) for s in sets]  # equal in their leading bits
+    i, j, bound = nearcopies.may_be_similar([nearcopies.short(s) for s in sets], list(range(20)), 0.0)
+    assert len(i) == 190
+    for a, b, most in zip(i, j, bound):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        assert most >= shared / (len(sets[a]) + len(sets[b]) - shared) - 1e-6

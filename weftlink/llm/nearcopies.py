@@ -3,14 +3,15 @@
 A text is the set of its distinct shingles. Equal sets are one node. SimHash fingerprints of the sets meet by ball
 hashing, which joins the nearest; at a similarity of 0.8 fingerprints differ in about 10 of 64 bits, so nodes whose
 least hashes agree in a whole band meet as well. Each pair that is compared is decided by its exact Jaccard similarity.
-First a node is compared with those that ball hashing found, and with the least node of the buckets that it shares the
-most of. Then only nodes still apart are compared: with the least ones of their other buckets, and with one another, all
-pairs of a bucket of up to GROUP nodes, in larger ones the pairs of random parts of about GROUP, dealt anew for each
-band. So the work grows with the nodes.
+First a node is compared with one that ball hashing found, and with the least node of the buckets that it shares the
+most of. Then nodes still apart are compared: with the others that ball hashing found, and within each bucket all with
+all, whatever its size. For that a bucket is dealt as pairs of blocks to tasks, which bound each pair's similarity from
+above by 32 bits of each shingle; who may be similar and is not joined otherwise is decided exactly, as all pairs are.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity s meets with probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8, 0.99999 at 0.85.
 BANDS, ROWS = 24, 6
-#: Nodes of a bucket, or of a part of a large one, that are all compared.
-GROUP = 8
+#: Nodes of a block of a bucket; a task compares those of two blocks.
+BLOCK = 256
+#: Numbers of short forms that a task holds as tokens at once, about.
+TOKENS = 1 << 17
 #: Tables of up to so many ids are broadcast, which holds about 200 bytes a row in the driver. Of larger ones a bit for each id is, and what passes is joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Bits for an id, in blocks of BLOCK_BITS; so many blocks at most, 16 MB. Beyond that more rows pass than are wanted, and the join decides.
@@ -117,15 +120,16 @@ def _passing(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return marked.where(F.getbit(byte, F.col("_at").bitwiseAND(F.lit(7)).cast("int")) == 1).select(docs.columns)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, more: str | None = None) -> DataFrame:
-    """(node, shingles) of the nodes wanted (node, id, tid), one document of each, with the long column `more` if one is named; a node comes twice where its document does."""
+def _sets(docs: DataFrame, wanted: DataFrame, more: str | None = None, brief: bool = False) -> DataFrame:
+    """(node, shingles) of the nodes wanted (node, id, tid), one document of each, with the long column `more` if one is named; a node comes twice where its document does. brief: short forms as binary."""
     keep = ["node", *([more] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.groups(batch, len(keep)):
-                sets = [shingles(t or "").view(np.int64) for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*keep, "shingles"])
+                sets = (shingles(t or "") for t in part.column(len(keep)).to_pylist())
+                made = pa.array([short(x) for x in sets], pa.binary()) if brief else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*keep, "shingles"])
 
     wanted = common.cut_lineage(wanted.select(*keep, "id", F.col("tid").alias("_tid")))
     n, rows = wanted.count(), docs.select("doc_id", "tid", "text")
@@ -134,7 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, more: str | None = None) -> DataFr
     else:
         rows = _passing(rows, wanted.select("id", F.col("_tid").alias("tid")), n)
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tid") == F.col("_tid"))).select(*keep, "text")
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", shingles array<long>")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + f", shingles {'binary' if brief else 'array<long>'}")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -160,6 +164,98 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return known.where(F.coalesce("_of_a", "a") != F.coalesce("_of_b", "b")).drop("_of_a", "_of_b")
 
 
+def short(some: np.ndarray) -> bytes:
+    """32 bits of each shingle, sorted. Two sets share at most as many shingles as their short forms share numbers, repeats counted."""
+    return np.sort((some >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def _common(numbers: np.ndarray, owners: np.ndarray, n: int, shared: np.ndarray) -> None:
+    """Adds to shared (n, n) how many numbers, repeats counted, each two owners have in common. Each owner's numbers are sorted."""
+    place = np.arange(len(numbers))
+    new = np.ones(len(numbers), bool)
+    new[1:] = (numbers[1:] != numbers[:-1]) | (owners[1:] != owners[:-1])
+    # the k-th repeat of a number is a token of its own
+    tokens = numbers | ((place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64) << np.uint64(32))
+    by = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[by], owners[by]
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    token = np.cumsum(first) - 1
+    several = np.bincount(token) > 1
+    owners, token = owners[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+    step = 1 << 10
+    for at in range(0, int(several.sum()), step):  # float32 counts exactly up to 2**24
+        a, b = np.searchsorted(token, (at, at + step))
+        has = np.zeros((n, step), np.float32)
+        has[owners[a:b], token[a:b] - at] = 1
+        shared += has @ has.T
+
+
+def may_be_similar(shorts: list[bytes], components: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bound), i < j, of all pairs of different components whose similarity is `similarity` or more as far as their short forms tell; the highest bounds first."""
+    own = [np.frombuffer(x, np.uint32) for x in shorts]
+    sizes, shared = np.array([len(x) for x in own], np.float32), np.zeros((len(own), len(own)), np.float32)
+    # one range of numbers after the other
+    for lows in itertools.pairwise(np.linspace(0, 1 << 32, int(sizes.sum(dtype=np.float64)) // TOKENS + 2).astype(np.uint64)):
+        cuts = [np.searchsorted(x, lows) for x in own]
+        some = [x[a:b] for x, (a, b) in zip(own, cuts)]
+        numbers = np.concatenate(some).astype(np.uint64)
+        if len(numbers):
+            _common(numbers, np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in some]), len(own), shared)
+    bound = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
+    known = np.array(components, np.int64)
+    i, j = np.nonzero(np.triu((bound >= similarity - 1e-6) & (known[:, None] != known[None, :]), 1))
+    by = np.argsort(-bound[i, j], kind="stable")
+    return i[by], j[by], bound[i, j][by]
+
+
+def _joining(i: np.ndarray, j: np.ndarray, components: list[int]) -> list[int]:
+    """Those of the pairs (i, j), in their order, that join what those before them, and the components, have not joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = root(components[a]), root(components[b])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append(k)
+    return out
+
+
+def _within_buckets(members: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, every: bool = False) -> DataFrame:
+    """(a, b): of the nodes that share a bucket of members (key, node) and are in different components of found, those that may be similar; without `every` only enough pairs to join them if all are.
+
+    A bucket of n nodes is dealt to tasks as all pairs of its ceil(n / BLOCK) blocks. No pair is left out.
+    """
+    sizes = common.cut_lineage(members.groupBy("node").agg(F.count("*").alias("often")))
+    joined = common.salted_join(members.select("key", "node"), found.join(sizes, "node"), ["node"], ["key"], "often", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = common.cut_lineage(joined.select("key", "node", "component"))
+    mixed = joined.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n")
+    dealt = common.cut_lineage(common.salted_join(joined, mixed.withColumn("weight", F.col("n")), ["key"], ["node"], "weight"))
+
+    at = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.tid").alias("tid"))
+    often = dealt.groupBy("node").agg(F.count("*").alias("often"))
+    shorts = _sets(docs, at.join(often, "node", "left_semi"), brief=True).withColumnRenamed("shingles", "short").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("key", "node"), F.col("blocks"))
+    other = dealt.select("key", "node", "component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    parts = other.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component").join(shorts, "node")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, known = rows.column("node").to_numpy(), rows.column("component").to_pylist()
+        i, j, _ = may_be_similar(rows.column("short").to_pylist(), known, similarity)
+        if not every:
+            some = _joining(i, j, known)
+            i, j = i[some], j[some]
+        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    return common.cut_lineage(parts.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct())
+
+
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes (node, fp) whose fingerprints are equal or differ in up to four bits, enough pairs to join them."""
     fps = common.cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")))
@@ -191,14 +287,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = common.cut_lineage(best.unionByName(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct())
     edges = _similar(first, docs, nodes, similarity)
     found = common.cut_lineage(components(edges))
-    rest = _apart(stars.select("a", "b").unionByName(near).distinct().join(first, ["a", "b"], "left_anti"), found).select("a", "b")
-    # of the larger buckets, those still apart meet
-    joined = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / GROUP))
-    parts = joined.groupBy("key", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("in")).where(F.size(F.array_distinct("in.component")) > 1)
-    pairs = parts.select("in", F.explode("in").alias("x")).select("x", F.explode("in").alias("y")).where("x.node < y.node AND x.component <> y.component")
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    edges = edges.unionByName(_similar(rest.unionByName(pairs), docs, nodes, similarity))
+    rest = common.cut_lineage(_apart(near.join(first, ["a", "b"], "left_anti"), found).select("a", "b"))
+    pairs = _within_buckets(members, found, docs, nodes, similarity)
+    more = _similar(rest.unionByName(pairs).distinct(), docs, nodes, similarity)
+    edges = common.cut_lineage(edges.unionByName(more))
+    if not pairs.join(more, ["a", "b"], "left_anti").isEmpty():
+        # a pair that was to join others is not similar, so pairs that it stood for count: all that are left
+        pairs = _within_buckets(members, components(edges), docs, nodes, similarity, every=True)
+        edges = edges.unionByName(_similar(pairs, docs, nodes, similarity))
     named = nodes.select("node", "first", "rows").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = common.cut_lineage(named)
     least = named.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("nodes"))
