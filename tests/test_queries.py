@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from weftlink import queries
+from weftlink.plans import site, target
 from weftlink.sources.extract import extract
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,10 @@ def test_references_cut_off_are_as_sql_has_them(spark, cut_off, name):
 
 def test_extraction_itself_reads_references_as_browsers_do():
     assert extract("http://a.b/", "<title>Hills &amp dales &amp</title><body><h1>x &lt</h1>")["title"] == "Hills & dales &"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_target_scores_make_no_suggestions(spark, monkeypatch):
+    expected = target.top_scores(queries._target(spark, SF).scores).collect()
+    monkeypatch.setattr(site, "score_pairs", lambda *_: pytest.fail("the site's pairs are not needed"))
+    assert expected and KNOWN["target_scores"](spark, SF).collect() == expected

@@ -26,18 +26,23 @@ class TargetAnalysis:
     diagnostics: DataFrame
 
 
+def target_pages(raw: DataFrame, target: str, settings: Settings = TARGET_PAGE) -> tuple[site.Crawl, DataFrame]:
+    """The crawl of the target's site among raw (page_id, url, html), and its completed pages, written."""
+    own = raw.where(urls.site_key(F.col("url")) == urls.site_key(F.lit(target)))
+    found = site.crawl(own, settings, target)
+    goal = F.col("normalized_url") == urls.normalize(F.lit(target))
+    # the target comes last, whatever its id
+    ordered = found.pages.withColumn("page_seq", F.when(goal, F.lit((1 << 62) - 1)).otherwise(F.col("page_seq")))
+    return found, cut_lineage(site.complete(ordered))
+
+
 def analyze_target(raw: DataFrame, target: str, settings: Settings = TARGET_PAGE) -> TargetAnalysis:
     """Links to `target` from the pages of its site among raw (page_id, url, html).
 
     Strict suggestions are those that the analysis of the whole site makes for the target: links between other pages
     use up their sources' caps too. Pages without one are filled in by nearness.
     """
-    own = raw.where(urls.site_key(F.col("url")) == urls.site_key(F.lit(target)))
-    found = site.crawl(own, settings, target)
-    goal = F.col("normalized_url") == urls.normalize(F.lit(target))
-    # the target comes last, whatever its id
-    ordered = found.pages.withColumn("page_seq", F.when(goal, F.lit((1 << 62) - 1)).otherwise(F.col("page_seq")))
-    pages = cut_lineage(site.complete(ordered))
+    found, pages = target_pages(raw, target, settings)
     strict = cut_lineage(site.opportunities(pages, settings).where(F.col("target_norm") == urls.normalize(F.lit(target))))
     scores = cut_lineage(semantic.candidate_scores(pages, target, settings))
     extra = semantic.fill_ins(scores, strict)
