@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftlink.functions.lexicon import GENERIC_ANCHORS, GENERIC_WORD_PATTERNS, GENERIC_WORDS, STOPWORDS
 from weftlink.functions.text import let, split_words, trim
+from weftlink.lineage import cut_lineage
 from weftlink.settings import CORE, Settings
 
 _SIDE = "a-zA-Z0-9À-ɏ"
@@ -230,38 +231,73 @@ def natural_anchors(texts: DataFrame, targets: DataFrame) -> DataFrame:
     Titles are h1, title, second headings and 20 topics, the longest first; each is tried whole, then in runs of five
     down to two of its telling words. Sides are ASCII letters and digits.
     """
-    titles = F.concat(F.array("h1", "title"), F.col("h2"), F.slice("topics", 1, 20))
+    h2 = F.filter("headings", lambda h: h["level"] == "H2")["text"]
+    titles = F.concat(F.array("h1", "title"), h2, F.slice("topics", 1, 20))
     squeezed = F.transform(titles, lambda t: trim(F.regexp_replace(t, r"\s+", " ")))
     kept = F.filter(squeezed, lambda t: (F.length(t) > 4) & ~F.lower(t).isin(*GENERIC_ANCHORS))
-    rows = targets.select("site_key", F.col("page_seq").alias("tgt_seq"), F.filter("headings", lambda h: h["level"] == "H2")["text"].alias("h2"), "h1", "title", "topics")
-    rows = rows.select("site_key", "tgt_seq", F.posexplode(kept).alias("at", "whole"))
+    longest = F.sort_array(F.transform(kept, lambda t, at: F.struct((-F.length(t)).alias("size"), at.alias("at"), t.alias("whole"))))
 
     def parts(whole: Column) -> Column:
         words = F.filter(F.split(F.lower(whole), " "), lambda w: (F.length(w) > 3) & ~w.isin(*STOPWORDS))
-        n = F.size(words)
-        runs = F.transform(F.sequence(F.least(n, F.lit(5)), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.array_join(F.slice(words, s, k), " ")))
-        return F.when(n >= 2, F.filter(F.flatten(runs), lambda p: ~p.isin(*GENERIC_ANCHORS))).otherwise(F.array().cast("array<string>"))
 
-    tried = F.posexplode(F.concat(F.array("whole"), parts(F.col("whole")))).alias("part", "phrase")
-    rows = rows.select("site_key", "tgt_seq", (-F.length("whole")).alias("size"), "at", tried)
-    heads = rows.select("site_key", "phrase").distinct()
-    near = phrase_matches_ascii(texts.withColumnRenamed("page_seq", "src_seq"), heads, ["src_seq", "para_idx"])
-    met = near.join(rows, ["site_key", "phrase"]).where("src_seq <> tgt_seq")
-    first = F.min_by("anchor", F.struct("size", "at", "part")).alias("anchor")
-    return met.groupBy("site_key", "src_seq", "para_idx", "tgt_seq").agg(first)
+        def runs(w: Column) -> Column:
+            n = F.size(w)
+            every = F.transform(F.sequence(F.least(n, F.lit(5)), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: F.array_join(F.slice(w, s, k), " ")))
+            return F.when(n >= 2, F.filter(F.flatten(every), lambda p: ~p.isin(*GENERIC_ANCHORS))).otherwise(F.array().cast("array<string>"))
+
+        return let(words, runs)
+
+    tried = F.flatten(F.transform(longest, lambda t: F.concat(F.array(t["whole"]), parts(t["whole"]))))
+    # a phrase's place in the order is its first one; place and match travel as one number, which a hash aggregate can take the least of
+    rows = cut_lineage(targets.select("site_key", F.col("page_seq").alias("tgt_seq"), F.posexplode(F.array_distinct(tried)).alias("place", "phrase")))
+    near = phrase_matches_ascii(texts.withColumnRenamed("page_seq", "src_seq"), rows.select("site_key", "phrase").distinct(), ["src_seq", "para_idx"])
+    para = ["site_key", "src_seq", "para_idx"]
+    hits = cut_lineage(near.groupBy(*para).agg(F.sort_array(F.collect_list(F.struct("phrase", "anchor"))).alias("hits")))
+    each = hits.select(*para, F.posexplode("hits.phrase").alias("hit", "phrase"))
+    met = each.join(rows, ["site_key", "phrase"]).where("src_seq <> tgt_seq")
+    first = F.min(F.shiftleft(F.col("place").cast("long"), 32) + F.col("hit")).alias("first")
+    best = met.groupBy(*para, "tgt_seq").agg(first).withColumn("hit", F.col("first").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return best.join(hits.select(*para, F.col("hits.anchor").alias("anchors")), para).select(*para, "tgt_seq", F.get("anchors", F.col("hit")).alias("anchor"))
+
+
+#: Letters and digits of ASCII, and the four letters that equal one of them whatever the case.
+_ASCII_RUN = f"[{_ASCII_SIDE}\u212a\u017f\u0130\u0131]+"
+
+
+def _ascii_key(run: Column) -> Column:
+    return F.lower(F.translate(run, "\u212a\u017f\u0130\u0131", "ksii"))
 
 
 def phrase_matches_ascii(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> DataFrame:
-    """(site_key, *keep, phrase, anchor) with ASCII sides, where a phrase meets a text by its first ASCII run, or without one by its first four characters."""
-    run = F.lower(F.regexp_extract("phrase", f"[{_ASCII_SIDE}]+", 0)).alias("r1")
-    heads = phrases.select("site_key", "phrase", run)
-    each = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"[{_ASCII_SIDE}]+"), F.lit(0)), lambda r: F.lower(r)))
-    met = texts.select("site_key", *keep, "text", F.explode_outer(each).alias("r1")).join(heads.where("r1 <> ''"), ["site_key", "r1"])
-    # sides are ASCII, so such a phrase may begin inside a word of another script
+    """(site_key, *keep, phrase, anchor) with ASCII sides. texts are unique by site_key and keep, phrases distinct.
+
+    A phrase meets a text by its first two ASCII runs, which stand there one after the other, by its only one, or without
+    one by its first four characters. A phrase that is one ASCII run needs no search: where the run is, it is.
+    """
+    runs = F.regexp_extract_all("phrase", F.lit(_ASCII_RUN), F.lit(0))
+    heads = phrases.select("site_key", "phrase", F.transform(runs, _ascii_key).alias("runs"), F.col("phrase").rlike(f"^[{_ASCII_SIDE}]{{2,}}$").alias("sure"))
+    listed = texts.select("site_key", *keep, F.regexp_extract_all("text", F.lit(_ASCII_RUN), F.lit(0)).alias("runs"))
+
+    def firsts(sorted_runs: Column) -> Column:
+        return F.filter(sorted_runs, lambda x, i: (i == 0) | (F.get(sorted_runs, i - 1)["r"] != x["r"]))
+
+    placed = F.sort_array(F.transform("runs", lambda r, i: F.struct(_ascii_key(r).alias("r"), i.alias("i"), r.alias("anchor"))))
+    ones = listed.select("site_key", *keep, F.explode(let(placed, firsts)).alias("x")).select("site_key", *keep, "x.r", "x.anchor")
+    single = heads.where(F.size("runs") == 1).select("site_key", "phrase", F.get("runs", F.lit(0)).alias("r"), "sure")
+    columns = ["site_key", *keep, "phrase"]
+    sure = ones.join(single.where("sure").drop("sure"), ["site_key", "r"]).select(*columns, "anchor")
+    met = ones.join(single.where("NOT sure").drop("sure"), ["site_key", "r"]).select(columns)
+
+    def neighbours(keys: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(keys) - 1), lambda i: F.concat(F.get(keys, i - 1), F.lit(" "), F.get(keys, i))))
+
+    twos = listed.where(F.size("runs") > 1).select("site_key", *keep, F.explode(let(F.transform("runs", _ascii_key), neighbours)).alias("r"))
+    double = heads.where(F.size("runs") > 1).select("site_key", "phrase", F.concat(F.get("runs", F.lit(0)), F.lit(" "), F.get("runs", F.lit(1))).alias("r"))
+    met = met.unionByName(twos.join(double, ["site_key", "r"]).select(columns))
+    # sides are ASCII, so a phrase without a run may begin inside a word of another script
     fours = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=([^{_ASCII_SIDE}]{{4}}))"), F.lit(1)))
-    others = heads.where("r1 = ''").withColumn("r1", F.substring(F.lower("phrase"), 1, 4))
-    met_other = texts.select("site_key", *keep, "text", F.explode_outer(fours).alias("r1")).join(others, ["site_key", "r1"])
-    columns = ["site_key", *keep, "text", "phrase"]
-    met = met.select(columns).unionByName(met_other.select(columns))
-    found = met.withColumn("anchor", bounded_phrase(F.col("text"), F.col("phrase"), ascii_only=True))
-    return found.where("anchor IS NOT NULL").select("site_key", *keep, "phrase", "anchor")
+    others = heads.where(F.size("runs") == 0).select("site_key", "phrase", F.substring(F.lower("phrase"), 1, 4).alias("r"))
+    met = met.unionByName(texts.select("site_key", *keep, F.explode(fours).alias("r")).join(others, ["site_key", "r"]).select(columns))
+    # the texts stay behind while runs meet phrases, and join again by their keys
+    found = met.join(texts.select("site_key", *keep, "text"), ["site_key", *keep]).withColumn("anchor", bounded_phrase(F.col("text"), F.col("phrase"), ascii_only=True))
+    return found.where("anchor IS NOT NULL").select(*columns, "anchor").unionByName(sure)
