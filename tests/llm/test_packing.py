@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -75,3 +78,31 @@ def test_level_has_the_least_sum_of_squares():
         packer.place(0, 0, np.zeros(size, "<u4"), size)
         assert (packer.counts == [len(w) for w in packer._windows]).all()
     assert closed
+
+
+TASK = r"""
+import random, re, types
+import pyarrow as pa
+from weftlink.llm import packing
+
+def mb(name):
+    return int(re.search(name + r":\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+words = ["".join(random.Random(i).choices("abcdefghijklmnoprstuvwz", k=3 + i % 7)) for i in range(60_000)]
+rng = random.Random(1)
+texts = pa.array([" ".join(rng.choices(words, k=2000)) for _ in range(1200)])
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["doc_id", "text"])
+packing.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+docs = types.SimpleNamespace(select=lambda *names: docs, mapInArrow=lambda run, schema: run)
+run = packing.pack(docs)
+before = mb("VmRSS")
+rows = sum(b.num_rows for b in run(iter([batch])))
+print(rows >= 1200, round(mb("VmHWM") - before), round(mb("VmRSS") - before))
+"""
+
+
+def test_memory_of_a_task_does_not_follow_its_batch():
+    """16 MB of text in one batch: 200 MB at most while it is packed, and 100 MB, with the words kept, when the task has ended."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", TASK], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert out[0] == "True" and int(out[1]) < 200 and int(out[2]) < 100, out

@@ -25,10 +25,10 @@ END_ID = 2
 #: Bytes of ids of open windows that a task holds in memory; what exceeds them lies in a file of the task's own.
 HELD_BYTES = 64 << 20
 #: Words whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_CHARS = 64
-#: Texts are encoded in groups of about this many bytes.
-ENCODED_BYTES = 16 << 20
+#: Texts are encoded in groups of about this many bytes; what a worker needs for that is some 30 times as much.
+ENCODED_BYTES = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -239,5 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
                 out.clear()
         packer.finish()
         yield _rows(out)
+        out.clear()
+        common.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
