@@ -1,8 +1,8 @@
 """Phrases of a target page that stand in the paragraphs of other pages of its site.
 
-Phrases and paragraphs meet by the first two runs of letters and digits of a phrase, which a paragraph that has the
-phrase has too, one after the other; only then is the whole phrase looked for. A phrase is matched once for a
-site, whichever pages it stands for.
+Phrases and paragraphs meet by all runs of letters and digits of a phrase (of a very long one by the first), which a
+paragraph that has the phrase has too, one after the other; only then is the phrase itself looked for, with what stands
+between its runs. A phrase is matched once for a site, whichever pages it stands for.
 """
 
 from __future__ import annotations
@@ -119,27 +119,43 @@ def _runs(x: Column) -> Column:
     return F.transform(F.regexp_extract_all(x, F.lit(f"[{_SIDE}]+"), F.lit(0)), lambda r: F.lower(r))
 
 
-def phrase_matches(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> DataFrame:
+#: Runs by which a phrase meets a text at most; of a longer phrase the first ones.
+MOST_RUNS = 8
+#: Keys of phrases that are broadcast at most, of 8 bytes each; beyond that texts and phrases meet by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame, keep: list[str], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(site_key, *keep, phrase, anchor, char_offset, anchor_score) for each phrase of its site that a text has.
 
     texts: (site_key, *keep, text), unique by site_key and keep; phrases: (site_key, phrase).
     """
-    runs = _runs(F.col("phrase"))
-    heads = phrases.select("site_key", "phrase").distinct().select("site_key", "phrase", F.get(runs, F.lit(0)).alias("r1"), F.get(runs, F.lit(1)).alias("r2"))
-    listed = texts.select("site_key", *keep, _runs(F.col("text")).alias("runs"))
-    # strings and not structs: those are made distinct by a hash, these by comparing all pairs
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("runs") - 1), lambda i: F.concat(F.get("runs", i - 1), F.lit(" "), F.get("runs", i))))
+
+    def key(runs: Column) -> Column:
+        return F.xxhash64("site_key", runs)
+
+    heads = phrases.select("site_key", "phrase").distinct().withColumn("runs", _runs(F.col("phrase")))
+    heads = cut_lineage(heads.select("site_key", "phrase", F.when(F.size("runs") > 0, key(F.slice("runs", 1, MOST_RUNS))).alias("key")))
+    known = heads.where("key IS NOT NULL").drop_duplicates(["key"]).select("key")
+
+    def keys(runs: Column) -> Column:
+        n = F.size(runs)
+        every = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_RUNS), n)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: key(F.slice(runs, i, k))))
+        return F.when(n > 0, F.array_distinct(F.flatten(every)))
+
+    # this is all CPU: it gets the session's number of shuffle partitions, not as few as the bytes would fill
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site_key", *keep)
     # the texts stay behind while runs meet phrases, and join again by their keys
-    twos = listed.where(F.size("runs") > 1).select("site_key", *keep, F.explode_outer(pairs).alias("r"))
-    met = twos.join(heads.where("r2 IS NOT NULL").withColumn("r", F.concat("r1", F.lit(" "), "r2")), ["site_key", "r"])
-    ones = listed.select("site_key", *keep, F.explode_outer(F.array_distinct("runs")).alias("r1"))
-    # phrases of one run, or of none, are few: marks only, or one word and a mark
-    met_one = ones.join(heads.where("r1 IS NOT NULL AND r2 IS NULL"), ["site_key", "r1"])
-    others = heads.where("r1 IS NULL").withColumn("head", F.substring(F.lower("phrase"), 1, 2))
+    listed = texts.select("site_key", *keep, F.explode_outer(let(_runs(F.col("text")), keys)).alias("key"))
+    if known.count() <= broadcast_keys:  # few of a text's keys are a phrase's: those alone are moved
+        listed = listed.join(F.broadcast(known), "key", "left_semi")
+    met_some = listed.join(heads, ["site_key", "key"])
+    # phrases without a run are few: marks only
+    others = heads.where("key IS NULL").withColumn("head", F.substring(F.lower("phrase"), 1, 2))
     marks = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=([^{_SIDE}]{{2}}))"), F.lit(1)))
     met_none = texts.select("site_key", *keep, F.explode_outer(marks).alias("head")).join(others, ["site_key", "head"])
     columns = ["site_key", *keep, "phrase"]
-    met = met.select(columns).unionByName(met_one.select(columns)).unionByName(met_none.select(columns))
+    met = met_some.select(columns).unionByName(met_none.select(columns))
     met = met.join(texts.select("site_key", *keep, "text"), ["site_key", *keep])
     found = met.withColumn("anchor", bounded_phrase(F.col("text"), F.col("phrase"))).where("anchor IS NOT NULL")
     found = found.withColumn("char_offset", F.instr(F.lower("text"), F.lower("anchor")) - 1)
