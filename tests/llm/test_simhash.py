@@ -97,6 +97,22 @@ def test_components(spark):
     assert components(frame.limit(0)).collect() == []
 
 
+def test_components_in_one_task_and_by_stars(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(60)] + [(i, i + 1) for i in range(100, 164)] + [(900, 900), (164, 100)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    context = spark.sparkContext
+    got, jobs = [], []
+    for few in (0, 10**6):
+        context.setJobGroup(group := f"components-{few}", "")
+        got.append(sorted(tuple(r) for r in components(frame, few_edges=few).collect()))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(group)))
+    context._jsc.clearJobGroup()
+    assert got[0] == got[1] and (163, 100) in got[0]
+    # few edges take a few jobs, however long their paths are; a path of 64 took some 40 before
+    assert jobs[1] <= 6 < jobs[0]
+
+
 def test_empty_table_and_repeated_rows(spark, docs):
     assert simhash.near_duplicates(docs([])).collect() == []
     rows = simhash.near_duplicates(docs(["a b"]).union(docs(["a b"]))).collect()
