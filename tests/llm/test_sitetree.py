@@ -2,10 +2,11 @@ import math
 import os
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.llm import sitetree
+from weftlink.llm import common, queries, sitetree
 
 
 def pages(spark, rows):
@@ -104,3 +105,23 @@ def test_long_hostile_pages(spark):
     odd = ["<a " * (size // 3), "<!" * (size // 2), "<a b='" * (size // 6), "<div>" * (size // 5), "<b>" * (size // 6) + "</i>" * (size // 8), "<div>" * 10_000 + "</x>" * 20_000, "<p>" * (size // 3), "<" * size]
     rows = sorted(sitetree.main_text(pages(spark, [("http://x", h) for h in odd])).collect())
     assert [r.n_chars for r in rows][:2] == [size // 3 * 3 - 1, 0] and rows[3].text == ""
+
+
+def test_pages_come_in_small_batches(spark, tmp_path):
+    """The query bounds the rows that Parquet's reader and Python hold at once; its rows are those without that bound."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": sitetree.BATCH_ROWS, "spark.sql.parquet.columnarReaderBatchSize": common.READ_ROWS}
+    before = {k: spark.conf.get(k) for k in names}
+    pages(spark, [(f"https://h{i % 3}.example/{i}", body(i)) for i in range(1200)]).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    table = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    expected = sorted(map(tuple, sitetree.main_text(table).collect()))
+    try:
+        assert sorted(map(tuple, queries.op6_html(spark, str(tmp_path)).collect())) == expected
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+        assert max(r.n for r in table.mapInArrow(sizes, "n long").collect()) <= sitetree.BATCH_ROWS
+        assert all(int(spark.conf.get(k)) <= most for k, most in names.items())
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 100)
+        common.small_reads(spark)
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "100"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

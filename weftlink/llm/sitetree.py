@@ -33,6 +33,8 @@ PLAIN_LOOK, RICH_LOOK, TIMES = 0.05, 0.25, 10
 LONGEST_PATH, DEEPEST = 512, 512
 #: Decisions of up to so many bytes are handed to every worker; more are joined to the pages by a shuffle.
 BROADCAST_BYTES = 16_000_000
+#: Pages that Python gets at once.
+BATCH_ROWS = 500
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript textarea title xmp iframe noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
