@@ -78,10 +78,10 @@ def page_sources(custom_topics: tuple[str, ...] = ()) -> Column:
     return F.concat(F.array("title", "h1"), F.col("headings.text"), F.col("topics"), F.slice("keywords", 1, 30), own)
 
 
-def candidates(pages: DataFrame, settings: Settings = CORE, every: bool = False) -> DataFrame:
+def candidates(pages: DataFrame, settings: Settings = CORE, every: bool = False, ranked: bool = True) -> DataFrame:
     """(site_key, page_seq, phrase, words, rank) of each page's phrases, longest first, then in the order of the Unicode collation.
 
-    Without `every`, phrases that are no anchors are left out, which leaves the order of the others as it is.
+    Without `every`, phrases that are no anchors are left out, which leaves the order of the others as it is. Without `ranked` there is no rank.
     """
     least = 1 if every or settings.allow_single_word else max(2, settings.min_anchor_words)
     phrases = F.explode_outer(phrases_of(page_sources(settings.custom_topics), settings.max_phrase_words, least)).alias("phrase")
@@ -89,6 +89,8 @@ def candidates(pages: DataFrame, settings: Settings = CORE, every: bool = False)
     rows = rows.withColumn("words", F.size(F.split("phrase", " ")))
     if not every:
         rows = rows.where(~is_generic_anchor(F.col("phrase"), settings.min_anchor_words, settings.allow_single_word))
+    if not ranked:
+        return rows
     order = Window.partitionBy("site_key", "page_seq").orderBy(F.desc("words"), F.collate("phrase", "UNICODE"), "phrase")
     return rows.withColumn("rank", F.row_number().over(order))
 
@@ -128,14 +130,16 @@ BROADCAST_KEYS = 500_000
 def phrase_matches(texts: DataFrame, phrases: DataFrame, keep: list[str], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(site_key, *keep, phrase, anchor, char_offset, anchor_score) for each phrase of its site that a text has.
 
-    texts: (site_key, *keep, text), unique by site_key and keep; phrases: (site_key, phrase).
+    texts: (site_key, *keep, text), unique by site_key and keep; phrases: (site_key, phrase). Where phrases, then unique,
+    have `only`, a phrase is not looked for in the texts of the page src_seq that it names.
     """
 
     def key(runs: Column) -> Column:
         return F.xxhash64("site_key", runs)
 
-    heads = phrases.select("site_key", "phrase").distinct().withColumn("runs", _runs(F.col("phrase")))
-    heads = cut_lineage(heads.select("site_key", "phrase", F.when(F.size("runs") > 0, key(F.slice("runs", 1, MOST_RUNS))).alias("key")))
+    heads = phrases if "only" in phrases.columns else phrases.select("site_key", "phrase", F.lit(None).cast("long").alias("only")).distinct()
+    heads = heads.withColumn("runs", _runs(F.col("phrase")))
+    heads = cut_lineage(heads.select("site_key", "phrase", "only", F.when(F.size("runs") > 0, key(F.slice("runs", 1, MOST_RUNS))).alias("key")))
     known = heads.where("key IS NOT NULL").drop_duplicates(["key"]).select("key")
 
     def keys(runs: Column) -> Column:
@@ -149,11 +153,12 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, keep: list[str], broadc
     listed = texts.select("site_key", *keep, F.explode_outer(let(_runs(F.col("text")), keys)).alias("key"))
     if known.count() <= broadcast_keys:  # few of a text's keys are a phrase's: those alone are moved
         listed = listed.join(F.broadcast(known), "key", "left_semi")
-    met_some = listed.join(heads, ["site_key", "key"])
+    abroad = F.lit(True) if "src_seq" not in keep else F.col("only").isNull() | (F.col("only") != F.col("src_seq"))
+    met_some = listed.join(heads, ["site_key", "key"]).where(abroad)
     # phrases without a run are few: marks only
     others = heads.where("key IS NULL").withColumn("head", F.substring(F.lower("phrase"), 1, 2))
     marks = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=([^{_SIDE}]{{2}}))"), F.lit(1)))
-    met_none = texts.select("site_key", *keep, F.explode_outer(marks).alias("head")).join(others, ["site_key", "head"])
+    met_none = texts.select("site_key", *keep, F.explode_outer(marks).alias("head")).join(others, ["site_key", "head"]).where(abroad)
     columns = ["site_key", *keep, "phrase"]
     met = met_some.select(columns).unionByName(met_none.select(columns))
     met = met.join(texts.select("site_key", *keep, "text"), ["site_key", *keep])
@@ -175,6 +180,23 @@ def best_anchors(texts: DataFrame, targets: DataFrame, settings: Settings = CORE
     return met.groupBy("site_key", "src_seq", "para_idx", "tgt_seq").agg(best).select("site_key", "src_seq", "para_idx", "tgt_seq", "b.*")
 
 
+def numbered_matches(texts: DataFrame, targets: DataFrame, settings: Settings = CORE) -> tuple[DataFrame, DataFrame]:
+    """What best_anchors() is made of, without the pairs: (site_key, src_seq, hits), and (site_key, id, pages) of each phrase that is met.
+
+    hits are (para_idx, id, anchor) of a page's paragraphs, in each by falling anchor_score and then in the order of
+    candidates(): the first whose phrase a target has is that target's best anchor. A page's own phrases that no other page has are left out.
+    """
+    own = candidates(targets, settings, ranked=False)
+    phrases = own.groupBy("site_key", "phrase").agg(F.when(F.count("*") == 1, F.min("page_seq")).alias("only"))
+    matches = phrase_matches(texts.withColumnRenamed("page_seq", "src_seq"), phrases, ["src_seq", "para_idx"])
+    order = F.struct("para_idx", (-F.col("anchor_score")).alias("a"), (-F.size(F.split("phrase", " "))).alias("w"), F.collate("phrase", "UNICODE").alias("c"), "phrase", "id", "anchor")
+    matches = cut_lineage(matches.withColumn("id", F.xxhash64("phrase")).select("site_key", "src_seq", "para_idx", "anchor_score", "phrase", "id", "anchor"))
+    hits = matches.groupBy("site_key", "src_seq").agg(F.sort_array(F.collect_list(order)).alias("h"))
+    hits = hits.select("site_key", "src_seq", F.transform("h", lambda h: F.struct(h["para_idx"].alias("para_idx"), h["id"].alias("id"), h["anchor"].alias("anchor"))).alias("hits"))
+    met = own.join(matches.select("site_key", "phrase", "id").distinct(), ["site_key", "phrase"])
+    return hits, met.groupBy("site_key", "id").agg(F.sort_array(F.collect_list("page_seq")).alias("pages"))
+
+
 def bare_title(title: Column) -> Column:
     """A title in small letters without the site's name."""
     return trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), SITE_NAME, ""))
