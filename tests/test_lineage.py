@@ -2,7 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from weftlink.lineage import _CLEAN, cut_lineage
+from weftlink.lineage import _CLEAN, cut_lineage, cut_table
 
 
 def _shuffle_files(spark):
@@ -19,3 +19,12 @@ def test_a_cut_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not left and spark.conf.get(_CLEAN, None) == mode
     assert made.groupBy("count").count().collect() == [(100, 100)]
+
+
+def test_a_table_is_smaller_than_its_texts(spark):
+    texts = spark.range(0, 2_000, 1, 4).select("id", F.array(F.repeat(F.lit("some words of a page "), 50)).alias("texts"))
+    made = cut_table(texts.groupBy("id").agg(F.first("texts").alias("texts")))
+    size = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.inputFiles()[0]).getParent()
+    size = size.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(size).getLength()
+    assert size < 2_000 * 1_050 / 4 and made.count() == 2_000 and made.agg(F.sum(F.length(F.get("texts", F.lit(0))))).first()[0] == 2_000 * 1_050
+    assert cut_table(made.where("id < 0")).count() == 0

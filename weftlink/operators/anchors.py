@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftlink.functions.lexicon import GENERIC_ANCHORS, GENERIC_WORD_PATTERNS, GENERIC_WORDS, STOPWORDS
 from weftlink.functions.text import let, split_words, trim
-from weftlink.lineage import cut_lineage
+from weftlink.lineage import cut_lineage, cut_table
 from weftlink.settings import CORE, Settings
 
 _SIDE = "a-zA-Z0-9À-ɏ"
@@ -139,7 +139,7 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, keep: list[str], broadc
 
     heads = phrases if "only" in phrases.columns else phrases.select("site_key", "phrase", F.lit(None).cast("long").alias("only")).distinct()
     heads = heads.withColumn("runs", _runs(F.col("phrase")))
-    heads = cut_lineage(heads.select("site_key", "phrase", "only", F.when(F.size("runs") > 0, key(F.slice("runs", 1, MOST_RUNS))).alias("key")))
+    heads = cut_table(heads.select("site_key", "phrase", "only", F.when(F.size("runs") > 0, key(F.slice("runs", 1, MOST_RUNS))).alias("key")))
     known = heads.where("key IS NOT NULL").drop_duplicates(["key"]).select("key")
 
     def keys(runs: Column) -> Column:
@@ -190,7 +190,7 @@ def numbered_matches(texts: DataFrame, targets: DataFrame, settings: Settings =
     phrases = own.groupBy("site_key", "phrase").agg(F.when(F.count("*") == 1, F.min("page_seq")).alias("only"))
     matches = phrase_matches(texts.withColumnRenamed("page_seq", "src_seq"), phrases, ["src_seq", "para_idx"])
     order = F.struct("para_idx", (-F.col("anchor_score")).alias("a"), (-F.size(F.split("phrase", " "))).alias("w"), F.collate("phrase", "UNICODE").alias("c"), "phrase", "id", "anchor")
-    matches = cut_lineage(matches.withColumn("id", F.xxhash64("phrase")).select("site_key", "src_seq", "para_idx", "anchor_score", "phrase", "id", "anchor"))
+    matches = cut_table(matches.withColumn("id", F.xxhash64("phrase")).select("site_key", "src_seq", "para_idx", "anchor_score", "phrase", "id", "anchor"))
     hits = matches.groupBy("site_key", "src_seq").agg(F.sort_array(F.collect_list(order)).alias("h"))
     hits = hits.select("site_key", "src_seq", F.transform("h", lambda h: F.struct(h["para_idx"].alias("para_idx"), h["id"].alias("id"), h["anchor"].alias("anchor"))).alias("hits"))
     met = own.join(matches.select("site_key", "phrase", "id").distinct(), ["site_key", "phrase"])

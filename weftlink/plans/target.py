@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftlink.functions import text as words
 from weftlink.functions import urls
-from weftlink.lineage import cut_lineage
+from weftlink.lineage import cut_table
 from weftlink.operators import semantic
 from weftlink.plans import site
 from weftlink.settings import TARGET_PAGE, Settings
@@ -33,7 +33,7 @@ def target_pages(raw: DataFrame, target: str, settings: Settings = TARGET_PAGE)
     goal = F.col("normalized_url") == urls.normalize(F.lit(target))
     # the target comes last, whatever its id
     ordered = found.pages.withColumn("page_seq", F.when(goal, F.lit((1 << 62) - 1)).otherwise(F.col("page_seq")))
-    return found, cut_lineage(site.complete(ordered))
+    return found, cut_table(site.complete(ordered))
 
 
 def analyze_target(raw: DataFrame, target: str, settings: Settings = TARGET_PAGE) -> TargetAnalysis:
@@ -43,11 +43,13 @@ def analyze_target(raw: DataFrame, target: str, settings: Settings = TARGET_PAGE
     use up their sources' caps too. Pages without one are filled in by nearness.
     """
     found, pages = target_pages(raw, target, settings)
-    strict = cut_lineage(site.opportunities(pages, settings).where(F.col("target_norm") == urls.normalize(F.lit(target))))
-    scores = cut_lineage(semantic.candidate_scores(pages, target, settings))
+    goal = pages.where(F.col("normalized_url") == urls.normalize(F.lit(target))).select("site_key", F.col("page_seq").alias("tgt_seq"))
+    theirs = cut_table(site.suggested(pages, settings).join(goal, ["site_key", "tgt_seq"], "left_semi"))
+    strict = cut_table(site.describe(theirs, pages))
+    scores = cut_table(semantic.candidate_scores(pages, target, settings))
     extra = semantic.fill_ins(scores, strict)
     made = strict.drop("tgt_seq", "target_norm").withColumn("_kind", F.lit(0)).unionByName(extra.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    made = cut_lineage(made)
+    made = cut_table(made)
     return TargetAnalysis(found, pages, scores, made.drop("_kind"), diagnostics(found, scores, strict, made, settings))
 
 
